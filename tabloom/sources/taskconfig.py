@@ -41,19 +41,17 @@ def parse_flat_yaml(source: str) -> dict:
     out: dict = {}
     key = None
     for line in source.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+        body = line.strip()
+        if not body or body.startswith("#"):
             continue
-        if line.startswith("- ") or line.startswith("  - "):
-            if not isinstance(out[key], list):
-                out[key] = []
-            out[key].append(scalar(line.strip()[2:]))
-        elif line.startswith(" ") and ": " in line + " " and out.get(key) is None or isinstance(out.get(key), dict) and line.startswith(" "):
-            if not isinstance(out[key], dict):
-                out[key] = {}
-            k, _, v = line.strip().partition(":")
-            out[key][scalar(k)] = scalar(v)
-        elif line.startswith(" "):
-            out[key] = f"{out[key]} {line.strip()}"
+        nested = line[0] == " "
+        if body.startswith("- "):
+            out[key] = (out[key] or []) + [scalar(body[2:])]
+        elif nested and isinstance(out[key], str):
+            out[key] = f"{out[key]} {body}"  # folded text
+        elif nested:
+            k, _, v = body.partition(":")
+            out[key] = {**(out[key] or {}), scalar(k): scalar(v)}
         else:
             key, _, v = line.partition(":")
             out[key] = scalar(v)
