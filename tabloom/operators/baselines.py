@@ -7,7 +7,6 @@ import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.functions import text
 from tabloom.operators.ordering import broadcast_if_small, position
@@ -137,10 +136,11 @@ def train_and_score(train: DataFrame, test: DataFrame, features: list[str], labe
     }
 
 
-METRICS_SCHEMA = T.StructType.fromDDL(
+METRICS_SCHEMA = (
     "acc double, majority_acc double, n_test bigint, n_train bigint, n_trials int, y_test_frac string, y_train_frac string"
 )
 
 
 def metrics_frame(spark, metrics: dict) -> DataFrame:
-    return spark.createDataFrame([tuple(metrics[f.name] for f in METRICS_SCHEMA.fields)], METRICS_SCHEMA)
+    names = [f.split()[0] for f in METRICS_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(metrics[n] for n in names)], METRICS_SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,9 +82,6 @@ def quantile_grid(df: DataFrame, columns: list[str], points: int = GRID_POINTS)
 def interpolate(c: Column, grid: list[float], digits: int = 2) -> Column:
     """Position of a value on its grid, in [0, 1]. Binary search over 1000 points is the one thing
     built-in functions lack, so it is a vectorized Arrow function."""
-    import numpy as np
-    import pandas as pd
-
     xs = np.asarray(grid, dtype="float64")
     ys = np.linspace(0.0, 1.0, len(xs)) if len(xs) > 1 else np.zeros(len(xs))
 

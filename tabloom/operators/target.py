@@ -135,9 +135,9 @@ def distinct_draws(n: Column, k: int, seed, *keys) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.expr("cast(array() as array<bigint>)"), step)
 
 
-def label_domain(df: DataFrame, group: list[str], label: str) -> DataFrame:
+def label_domain(df: DataFrame, group: list[str], label: str, bound: int | None = None) -> DataFrame:
     """Distinct labels of each group with their index and the domain size."""
-    return position(df.select(*group, label).distinct(), group, [label], out="idx", total="m")
+    return position(df.select(*group, label).distinct(), group, [label], out="idx", total="m", bound=bound)
 
 
 def with_choices(
@@ -148,7 +148,6 @@ def with_choices(
     seed=0,
     max_choices: int = 8,
     inline: int = INLINE_LABELS,
-    domain: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``choices``: all labels of the group, or the true label and random others.
 
@@ -157,14 +156,17 @@ def with_choices(
     table causes no skewed join. Domains of up to ``inline`` labels travel as one array per group;
     larger ones are looked up by (group, position), which spreads evenly.
     """
-    domain = label_domain(df, group, label) if domain is None else domain
-    sizes = domain.groupBy(*group).agg(
-        F.max("m").cast("long").alias("__m"), F.sum(F.length(label) + 16).alias("__bytes")
+    distinct = df.select(*group, label).distinct()
+    sizes = distinct.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__m"), F.sum(F.length(label) + 16).alias("__bytes")
     )
+    # One pass over the label column decides how the domains travel.
+    is_small = F.col("__m") <= inline
     stat = sizes.agg(
-        F.max("__m").alias("m"),
-        F.coalesce(F.sum(F.when(F.col("__m") <= inline, F.col("__bytes"))), F.lit(0)).alias("b"),
-        F.count(F.lit(1)).alias("g"),
+        F.coalesce(F.max("__m"), F.lit(0)).alias("m"),
+        F.coalesce(F.sum(F.when(is_small, F.col("__bytes"))), F.lit(0)).alias("b"),
+        F.count_if(is_small).alias("small"),
+        F.count_if(~is_small).alias("big"),
     ).first()
     draws = distinct_draws(F.col("__m"), max_choices, seed, "choices", *[F.col(k) for k in row_keys])
 
@@ -176,21 +178,24 @@ def with_choices(
         return left.join(right, group) if group else left.crossJoin(right)
 
     parts = []
-    if stat["m"] is not None:
-        small = domain.where(F.col("m") <= inline).groupBy(*group).agg(
-            F.sort_array(F.collect_list(F.struct("idx", F.col(label).alias("__v")))).alias("__d"),
-            F.max("m").cast("long").alias("__m"),
-        ).select(*group, F.col("__d.__v").alias("__values"), "__m")
+    if stat["small"]:
+        values = distinct
+        if stat["big"]:
+            keep = broadcast_if_small(sizes.where(is_small).select(*group), stat["small"])
+            values = join(distinct, keep) if group else distinct
+        small = values.groupBy(*group).agg(F.sort_array(F.collect_list(label)).alias("__values"))
         if stat["b"] <= MAX_BROADCAST_BYTES:
             small = F.broadcast(small)
-        picked = F.transform(draws, lambda i: F.get(F.col("__values"), i.cast("int")))
-        parts.append(
-            join(df, small)
-            .withColumn("choices", F.when(F.col("__m") <= max_choices, F.col("__values")).otherwise(finish(picked)))
-            .drop("__values", "__m")
-        )
-    if stat["m"] is not None and stat["m"] > inline:
-        big = broadcast_if_small(sizes.where(F.col("__m") > inline).select(*group, "__m"), stat["g"])
+        if stat["m"] <= max_choices:
+            chosen = F.col("__values")
+        else:
+            picked = F.transform(draws, lambda i: F.get(F.col("__values"), i.cast("int")))
+            chosen = F.when(F.col("__m") <= max_choices, F.col("__values")).otherwise(finish(picked))
+        rows = join(df, small).withColumn("__m", F.size("__values").cast("long"))
+        parts.append(rows.withColumn("choices", chosen).drop("__values", "__m"))
+    if stat["big"]:
+        domain = label_domain(df, group, label, bound=stat["m"])
+        big = broadcast_if_small(sizes.where(~is_small).select(*group, "__m"), stat["big"])
         rows = join(df, big)
         wanted = rows.select(*group, *row_keys, F.posexplode(draws).alias("__j", "idx"))
         found = wanted.join(domain.select(*group, "idx", F.col(label).alias("__v")), [*group, "idx"])

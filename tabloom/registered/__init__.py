@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text_rows",)
+AREAS = ("text_rows", "targets")
 
 
 def _merge(attribute: str) -> dict:
