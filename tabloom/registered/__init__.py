@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text_rows", "targets")
+AREAS = ("text_rows", "targets", "samples", "scoring", "metadata")
 
 
 def _merge(attribute: str) -> dict:

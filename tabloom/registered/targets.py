@@ -189,8 +189,8 @@ SQL["metafeatures_rank"] = (
 
 def _meta_grid(spark, folder):
     df = load(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    df = metafeatures.quantile_by_grid(df, ["o_totalprice", "o_custkey"], 6)
-    return df.select("o_orderkey", F.round("o_totalprice__quantile", 5).alias("price_q"), F.round("o_custkey__quantile", 5).alias("cust_q"))
+    df = metafeatures.quantile_by_grid(df, ["o_totalprice", "o_custkey"], 9)
+    return df.select("o_orderkey", F.col("o_totalprice__quantile").alias("price_q"), F.col("o_custkey__quantile").alias("cust_q"))
 
 
 def _grid_sql(v):
@@ -223,7 +223,7 @@ def _interp(v, name):
 
 QUERIES["metafeatures_grid"] = _meta_grid
 SQL["metafeatures_grid"] = (
-    f"SELECT o_orderkey, round(round_even(price_q, 6), 5) AS price_q, round(round_even(cust_q, 6), 5) AS cust_q FROM ({_interp('o_totalprice', 'price_q')}) "
+    f"SELECT o_orderkey, round_even(price_q, 9) AS price_q, round_even(cust_q, 9) AS cust_q FROM ({_interp('o_totalprice', 'price_q')}) "
     f"JOIN ({_interp('o_custkey', 'cust_q')}) USING (o_orderkey)"
 )
 
