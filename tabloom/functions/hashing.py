@@ -5,6 +5,8 @@ A retried task therefore draws the same numbers, and the same run can be repeate
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,25 @@ def uniform(seed, *keys) -> Column:
 def below(n: Column, seed, *keys) -> Column:
     """Whole number in [0, n)."""
     return F.floor(uniform(seed, *keys) * n).cast("long")
+
+
+def _hex(n: int) -> str:
+    return format(n, "08x")
+
+
+def chance(p: float, seed, *keys) -> Column:
+    """uniform < p, decided on the hex text: no conversion to numbers per row."""
+    edge = math.ceil(float(p) * 2**32)
+    if edge >= 2**32:
+        return F.lit(True)
+    return digest(seed, *keys) < F.lit(_hex(max(edge, 0)))
+
+
+def exceeds(p: float, seed, *keys) -> Column:
+    """uniform > p, decided on the hex text."""
+    edge = math.floor(float(p) * 2**32)
+    if edge < 0:
+        return F.lit(True)
+    if edge >= 2**32:
+        return F.lit(False)
+    return digest(seed, *keys) > F.lit(_hex(edge) + "f" * 24)

@@ -26,16 +26,29 @@ def is_number(dt: T.DataType) -> bool:
     return isinstance(dt, INT_TYPES + FLOAT_TYPES)
 
 
+def _edge(c: Column, more: tuple[str, ...] = ()) -> Column:
+    blanks = list(PY_WHITESPACE)
+    return F.left(c, F.lit(1)).isin(blanks) | F.right(c, F.lit(1)).isin([*blanks, *more])
+
+
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(PY_WHITESPACE))
+    """Python's ``strip``. Trimming by a set of characters is costly, and most values have nothing to
+    trim, so the first and last characters are looked at first."""
+    return F.when(_edge(c), F.btrim(c, F.lit(PY_WHITESPACE))).otherwise(c)
 
 
-def py_float(c: Column) -> Column:
-    """Double as Python prints it. Java agrees with Python only for 1e-3 <= |v| < 1e7."""
-    c = c.cast("double")
-    s = c.cast("string")
+def tidy(c: Column) -> Column:
+    """Trimmed, then freed of one trailing full stop."""
+    def slow(x):
+        return drop_final_dot(F.btrim(x, F.lit(PY_WHITESPACE)))
+
+    return F.when(_edge(c, (".",)), out_of_line(slow, c)).otherwise(c)
+
+
+def _rare_float(c: Column) -> Column:
+    """Numbers Java and Python print differently: infinities, very small and very large ones."""
     a = F.abs(c)
-    fixed = F.rtrim(s.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
+    fixed = F.rtrim(c.cast("string").try_cast("decimal(38,20)").cast("string"), F.lit("0"))
     fixed = F.when(F.endswith(fixed, F.lit(".")), F.concat(fixed, F.lit("0"))).otherwise(fixed)
 
     def sci(digits):
@@ -48,14 +61,33 @@ def py_float(c: Column) -> Column:
     )
     pick = F.replace(F.regexp_replace(pick, "0+e", "e"), F.lit(".e"), F.lit("e"))
     return (
-        F.when(c.isNull() | F.isnan(c), F.lit("nan"))
-        .when(((a >= 1e-3) & (a < 1e7)) | (c == 0.0), s)
-        .when(a == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        F.when(a == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when((a >= 1e-4) & (a < 1e16), fixed)
         .otherwise(pick)
     )
 
 
+def out_of_line(build, c: Column) -> Column:
+    """``build(c)`` kept out of the generated code of the row loop.
+
+    The JVM compiles only methods below a size limit. A row with many columns reaches it when every
+    column brings its rare cases along, and the whole loop is then interpreted (five times slower,
+    measured). A function applied to a one-element array is called instead of inlined.
+    """
+    return F.get(F.transform(F.array(c), build), F.lit(0))
+
+
+def py_float(c: Column) -> Column:
+    """Double as Python prints it. Java agrees with Python for 1e-3 <= |v| < 1e7."""
+    c = c.cast("double")
+    a = F.abs(c)
+    return (
+        F.when(((a >= 1e-3) & (a < 1e7)) | (c == 0.0), c.cast("string"))
+        .when(c.isNull() | F.isnan(c), F.lit("nan"))
+        .otherwise(out_of_line(_rare_float, c))
+    )
+
+
 def iso_timestamp(c: Column) -> Column:
     """ISO text; the fraction has six digits and appears only when it is not zero."""
     s = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
@@ -145,12 +177,10 @@ def _plain_quote(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
-def py_quote(c: Column) -> Column:
-    """String as a Python literal."""
-    rare = F.regexp_like(F.regexp_replace(c, "[\\n\\r\\t]", ""), F.lit(_UNPRINTABLE))
+def _escape_python(c: Column) -> Column:
     body = _common_escapes(c)
     body = F.when(
-        rare,
+        F.regexp_like(F.regexp_replace(c, "[\\n\\r\\t]", ""), F.lit(_UNPRINTABLE)),
         F.array_join(
             F.transform(
                 F.split(body, ""),
@@ -162,18 +192,23 @@ def py_quote(c: Column) -> Column:
     single = F.contains(c, F.lit("'"))
     double = F.contains(c, F.lit('"'))
     return (
-        F.when(~single, F.concat(F.lit("'"), body, F.lit("'")))
+        F.when(~single, _plain_quote(body))
         .when(~double, F.concat(F.lit('"'), body, F.lit('"')))
-        .otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        .otherwise(_plain_quote(F.replace(body, F.lit("'"), F.lit("\\'"))))
     )
 
 
-def json_quote(c: Column) -> Column:
-    """String as ASCII-only JSON."""
+def py_quote(c: Column) -> Column:
+    """String as a Python literal; most strings just need quotes."""
+    odd = F.regexp_like(c, F.lit(r"['\\\p{C}\p{Z}&&[^ ]]"))
+    return F.when(odd, out_of_line(_escape_python, c)).otherwise(_plain_quote(c))
+
+
+def _escape_json(c: Column) -> Column:
     body = _common_escapes(c)
     for raw, esc in (('"', '\\"'), ("\b", "\\b"), ("\f", "\\f")):
         body = F.replace(body, F.lit(raw), F.lit(esc))
-    body = F.when(
+    return F.when(
         F.regexp_like(body, F.lit("[^ -~]")),
         F.array_join(
             F.transform(
@@ -185,7 +220,12 @@ def json_quote(c: Column) -> Column:
             "",
         ),
     ).otherwise(body)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def json_quote(c: Column) -> Column:
+    """String as ASCII-only JSON; most strings just need quotes."""
+    odd = F.regexp_like(c, F.lit(r'[^ !#-\[\]-~]'))
+    return F.concat(F.lit('"'), F.when(odd, out_of_line(_escape_json, c)).otherwise(c), F.lit('"'))
 
 
 def html_escape(c: Column) -> Column:

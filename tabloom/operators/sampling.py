@@ -44,12 +44,12 @@ def split_rows(
 ) -> DataFrame:
     """``train`` / ``traineval``: a chunk of files takes part with probability ``frac``; of its
     tables, ``frac`` of the rows move (exact count per table, or by threshold for streams)."""
-    chosen = hashing.uniform(seed, "chunk", chunk) < F.lit(float(Fraction(frac)))
+    chosen = hashing.chance(float(Fraction(frac)), seed, "chunk", chunk)
     if exact:
         out = split_by_rank(df.withColumn("__chosen", chosen), row_keys, frac, seed, [table], "traineval", "train")
         label = F.when(F.col("__chosen"), F.col("split")).otherwise(F.lit("train"))
         return out.withColumn("split", label).drop("__chosen")
-    low = hashing.uniform(seed, *[F.col(k) for k in [table, *row_keys]]) < F.lit(float(Fraction(frac)))
+    low = hashing.chance(float(Fraction(frac)), seed, *[F.col(k) for k in [table, *row_keys]])
     return df.withColumn("split", F.when(chosen & low, F.lit("traineval")).otherwise(F.lit("train")))
 
 
@@ -57,11 +57,10 @@ def split_iid(
     df: DataFrame, row_keys: list[str], seed=0, shares=(("train", 0.8), ("validation", 0.1), ("test", 0.1))
 ) -> DataFrame:
     """Independent random split by threshold: needs no shuffle and runs on streams."""
-    u = hashing.uniform(seed, "split", *[F.col(k) for k in row_keys])
     edge, label = 0.0, None
     for name, share in shares[:-1]:
         edge += share
-        cond = u < F.lit(edge)
+        cond = hashing.chance(edge, seed, "split", *[F.col(k) for k in row_keys])
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
     last = F.lit(shares[-1][0])
     return df.withColumn("split", label.otherwise(last) if label is not None else last)

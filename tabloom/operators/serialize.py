@@ -7,6 +7,7 @@ generated code. Optional parts rely on ``concat_ws`` skipping nulls.
 
 from __future__ import annotations
 
+import html
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -68,7 +69,7 @@ def with_dropout(features: list[Feature], rate: float, row_key: Column, seed=0)
     """Each feature of each row is kept when its draw exceeds ``rate``."""
     out = []
     for f in features:
-        keep = hashing.uniform(seed, "drop", row_key, f.name) > F.lit(float(rate))
+        keep = hashing.exceeds(rate, seed, "drop", row_key, f.name)
         out.append(replace(f, present=keep if f.present is None else f.present & keep))
     return out
 
@@ -88,23 +89,24 @@ def _shown(f: Feature, config: SerializerConfig) -> Column:
     if isinstance(f.dtype, text.FLOAT_TYPES) and config.max_precision is not None:
         v = text.py_round(v.cast("double"), config.max_precision)
         return text.py_float(v)
+    if isinstance(f.dtype, (T.StringType, T.BinaryType)):
+        return text.tidy(text.py_str(v, f.dtype))
     shown = text.py_str(v, f.dtype)
-    if text.is_number(f.dtype) or isinstance(f.dtype, (T.BooleanType, T.ArrayType)):
-        return shown
-    return text.drop_final_dot(text.strip(shown))
+    if isinstance(f.dtype, (T.StructType, T.MapType)):
+        return text.tidy(shown)
+    return shown
 
 
 def _is_text(dt: T.DataType) -> bool:
     return not (text.is_number(dt) or isinstance(dt, (T.BooleanType, T.ArrayType)))
 
 
-def _arranged(features: list[Feature], parts: list[Column], sep: str, config, row_key, seed) -> Column:
-    """Feature texts joined in table order, or in a hashed order per row."""
+def _arranged(features: list[Feature], parts: list[Column], config, row_key, seed) -> list[Column]:
+    """Arguments for ``concat_ws``: feature texts in table order, or one array in a hashed order per
+    row. Features a row does not show are null, which ``concat_ws`` skips."""
     parts = [p if f.present is None else F.when(f.present, p) for f, p in zip(features, parts)]
-    if not parts:
-        return F.lit("")
-    if not config.shuffle_features:
-        return F.concat_ws(sep, *parts)
+    if not config.shuffle_features or not parts:
+        return parts
     if row_key is None:
         raise ValueError("shuffling features needs a row key")
     ranked = [
@@ -112,13 +114,20 @@ def _arranged(features: list[Feature], parts: list[Column], sep: str, config, ro
         for f, p in zip(features, parts)
     ]
     # Sorting an array of structs and taking a field needs no lambda.
-    return F.concat_ws(sep, F.sort_array(F.array(*ranked)).getField("t"))
+    return [F.sort_array(F.array(*ranked)).getField("t")]
 
 
 def _as_col(x) -> Column:
     return F.lit(x) if isinstance(x, str) else x
 
 
+def _part(x) -> Column | None:
+    """Trimmed part of a text, null if empty; fixed texts are trimmed when the plan is built."""
+    if isinstance(x, str):
+        return F.lit(x.strip()) if x else None
+    return text.strip(_optional(x))
+
+
 def _optional(c: Column) -> Column:
     """Null for an empty text, so that it takes no part in a join of texts."""
     return F.when(c != "", c)
@@ -160,7 +169,8 @@ def _basic_features(features, config, row_key, seed):
             cells[0] = F.lit(f" ({meta[0][0]}:")
             t += [*cells, F.lit(")")]
         parts.append(F.concat(*t, F.lit(".")))
-    return text.strip(_arranged(features, parts, " ", config, row_key, seed))
+    # Every sentence starts with "The" and ends with a full stop: nothing to trim.
+    return _arranged(features, parts, config, row_key, seed)
 
 
 def _structured_features(features, config, row_key, seed):
@@ -172,17 +182,13 @@ def _structured_features(features, config, row_key, seed):
             cells = [x for k, m in f.meta() for x in (F.lit(STRUCTURE[k][0]), text.py_float(m), F.lit(STRUCTURE[k][1]))]
             t += [F.lit(m0), *cells, F.lit(m1)]
         parts.append(F.concat(*t))
-    return _arranged(features, parts, "", config, row_key, seed)
-
-
-_JSON_FLOAT = {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}
+    return _arranged(features, parts, config, row_key, seed)
 
 
 def _json_number(shown: Column) -> Column:
-    out = shown
-    for a, b in _JSON_FLOAT.items():
-        out = F.when(shown == a, F.lit(b)).otherwise(out)
-    return out
+    """Number text in JSON spelling."""
+    odd = F.replace(F.replace(shown, F.lit("nan"), F.lit("NaN")), F.lit("inf"), F.lit("Infinity"))
+    return F.when(F.contains(shown, F.lit("n")), odd).otherwise(shown)
 
 
 def _literal(f: Feature, config, flavour: str) -> Column:
@@ -193,12 +199,20 @@ def _literal(f: Feature, config, flavour: str) -> Column:
         if isinstance(f.dtype, T.ArrayType):
             items = F.transform(f.value, lambda x: text.json_quote(text.py_str(x, f.dtype.elementType)))
             return F.coalesce(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")), F.lit('"None"'))
-        return text.json_quote(shown) if _is_text(f.dtype) else _json_number(shown)
+        return _quote_value(f, shown, flavour) if _is_text(f.dtype) else _json_number(shown)
     if isinstance(f.dtype, T.BooleanType):
         return F.when(f.value.isNull(), F.lit("'None'")).otherwise(shown)
     if not _is_text(f.dtype):
         return shown
-    return text.py_quote(shown) if flavour == "python" else F.concat(F.lit("'"), shown, F.lit("'"))
+    return _quote_value(f, shown, flavour)
+
+
+def _quote_value(f: Feature, shown: Column, flavour: str) -> Column:
+    """Quoted text of a value; dates and numbers in text need no escapes."""
+    if not isinstance(f.dtype, (T.StringType, T.BinaryType, T.StructType, T.MapType)):
+        mark = '"' if flavour == "json" else "'"
+        return F.concat(F.lit(mark), shown, F.lit(mark))
+    return _quote(shown, flavour) if flavour != "html" else F.concat(F.lit("'"), text.html_escape(shown), F.lit("'"))
 
 
 def _quote(c: Column, flavour: str) -> Column:
@@ -212,7 +226,9 @@ def _name_literal(name: str, flavour: str) -> str:
 
     if flavour == "json":
         return json.dumps(name)
-    return repr(name) if flavour == "python" else f"'{name}'"
+    if flavour == "python":
+        return repr(name)
+    return "'" + html.escape(name, quote=False) + "'"
 
 
 def _mapping(features, config, row_key, seed, flavour) -> Column:
@@ -227,7 +243,8 @@ def _mapping(features, config, row_key, seed, flavour) -> Column:
     more = ""
     if flavour == "html" and len(parts) > HTML_MAX_ITEMS and not config.shuffle_features:
         features, parts, more = features[:HTML_MAX_ITEMS], parts[:HTML_MAX_ITEMS], ", ..."
-    return F.concat(F.lit("{"), _arranged(features, parts, ", ", config, row_key, seed), F.lit(more + "}"))
+    body = F.concat_ws(", ", *_arranged(features, parts, config, row_key, seed))
+    return F.concat(F.lit("{"), body, F.lit(more + "}"))
 
 
 def _dict_style(style, features, config, prefix, suffix, choices, context, row_key, seed) -> Column:
@@ -260,7 +277,7 @@ def _dict_style(style, features, config, prefix, suffix, choices, context, row_k
     rows = [
         F.concat(
             F.lit(line(4, "<tr>") + line(6, f"<th>{k}</th>") + pad(6) + "<td>"),
-            text.strip(text.html_escape(v)),
+            v if k == "features" else text.strip(text.html_escape(v)),
             F.lit("</td>" + nl + line(4, "</tr>")),
         )
         for k, v in fields
@@ -291,25 +308,31 @@ def serialize(
         if row_key is None:
             raise ValueError("feature dropout needs a row key")
         features = with_dropout(features, config.feature_dropout, row_key, seed)
-    prefix, suffix, context = _as_col(prefix), _as_col(suffix), _as_col(context)
     if config.style in ("pandas", "html", "html_compact", "json"):
+        prefix, suffix, context = _as_col(prefix), _as_col(suffix), _as_col(context)
         return _dict_style(config.style, features, config, prefix, suffix, choices, context, row_key, seed)
     sep = " "
-    chosen = choices_text(choices, config.style)
+    chosen = None if choices is None else _optional(choices_text(choices, config.style))
+    # Anything whose ends are not known when the plan is built may leave blanks at the ends.
+    loose = any(not isinstance(x, str) or (x and not x.strip()) for x in (prefix, suffix, context))
     if config.style == "structured":
         sep = ""
         body = _structured_features(features, config, row_key, seed)
-        body = F.concat(F.lit(STRUCTURE["example"][0]), body, F.lit(STRUCTURE["example"][1]))
+        body = [F.lit(STRUCTURE["example"][0]), *body, F.lit(STRUCTURE["example"][1])]
         prefix, suffix = (
-            F.when(c != "", F.concat(F.lit(STRUCTURE[k][0]), c, F.lit(STRUCTURE[k][1])))
-            for k, c in (("prefix", prefix), ("suffix", suffix))
+            (a + c + b if c else "") if isinstance(c, str) else F.when(c != "", F.concat(F.lit(a), c, F.lit(b)))
+            for (a, b), c in ((STRUCTURE["prefix"], prefix), (STRUCTURE["suffix"], suffix))
         )
     else:
         body = _basic_features(features, config, row_key, seed)
+        if config.style == "basic" and chosen is not None:
+            chosen = text.strip(chosen)
+            loose = True
     front = [chosen] if config.choices_position in ("front", "both") else []
     back = [chosen] if config.choices_position in ("back", "both") else []
-    parts = [context, prefix, *front, body, suffix, *back]
-    return text.strip(F.concat_ws(sep, *[text.strip(_optional(p)) for p in parts]))
+    parts = [_part(context), _part(prefix), *front, *body, _part(suffix), *back]
+    whole = F.concat_ws(sep, *[p for p in parts if p is not None])
+    return text.strip(whole) if loose else whole
 
 
 # Extension point: a style is a function (features, config, **texts) -> Column.

@@ -137,9 +137,9 @@ def test_shuffle_and_dropout(spark):
     assert df.limit(5000).select(t.alias("t")).distinct().count() == 120
 
 
-def test_default_style_stays_in_generated_code(spark, plain):
+def test_default_style_runs_no_python(spark, plain):
     feats = S.features_of(plain)
     df = plain.select(S.serialize(feats, SerializerConfig(feature_dropout=0.1, shuffle_features=True),
                                   prefix=PRE, suffix=SUF, choices=["a", "b"], row_key=F.col("int_feature")))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "lambda" not in plan and "Python" not in plan
+    assert "Python" not in plan and "UDF" not in plan
