@@ -37,7 +37,7 @@ def open_vocabulary(predictions: DataFrame, task: list[str], prediction: str, la
     n = F.count(F.lit(1))
     aggs = [F.avg(hit.cast("double")).alias("accuracy_open_vocab"), n.alias("samples_seen_total_open_vocab")]
     if valid:
-        aggs.append((F.count_if(~F.col(valid)) / n).alias("invalid_prediction_rate_open_vocab"))
+        aggs.append(F.try_divide(F.count_if(~F.col(valid)), n).alias("invalid_prediction_rate_open_vocab"))
     out = predictions.groupBy(*task).agg(*aggs)
     # The whole set has no rows to divide by when it is empty.
     return out if task or not valid else out.withColumn(
@@ -67,12 +67,13 @@ def closed_accuracy(best: DataFrame, task: list[str], label: str) -> DataFrame:
 def perplexity(steps: DataFrame, group: list[str], loss: str, samples: str) -> DataFrame:
     """exp(sum of losses / sum of samples)."""
     return steps.groupBy(*group).agg(
-        (F.sum(loss) / F.sum(samples)).alias("loss"), F.exp(F.sum(loss) / F.sum(samples)).alias("perplexity")
+        F.try_divide(F.sum(loss), F.sum(samples)).alias("loss"),
+        F.exp(F.try_divide(F.sum(loss), F.sum(samples))).alias("perplexity"),
     )
 
 
 def throughput(steps: DataFrame, group: list[str], tokens: str, seconds: str) -> DataFrame:
-    return steps.groupBy(*group).agg((F.sum(tokens) / F.sum(seconds)).alias("tokens_per_sec"))
+    return steps.groupBy(*group).agg(F.try_divide(F.sum(tokens), F.sum(seconds)).alias("tokens_per_sec"))
 
 
 def with_interval(metrics: DataFrame, accuracy: str, n: str, alpha: float = 0.05) -> DataFrame:

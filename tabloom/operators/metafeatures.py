@@ -72,7 +72,7 @@ def quantile_grid(df: DataFrame, columns: list[str], points: int = GRID_POINTS)
     sizes = long.where("v is not null and not isnan(v)").groupBy("column").agg(F.count(F.lit(1)).alias("n"))
     long = long.join(F.broadcast(sizes), "column")  # one row per column
     long = long.withColumn("parts", F.greatest(F.least(F.col("n"), F.lit(points)) - 1, F.lit(1)))
-    rows = even_quantiles(long, ["column"], "v", "parts").collect()
+    rows = even_quantiles(long, ["column"], "v", "parts", whole_ranks=True).collect()
     grids: dict[str, dict[int, float]] = {c: {} for c in columns}
     for r in rows:
         grids[r["column"]][r["i"]] = r["quantile"]

@@ -66,7 +66,19 @@ def _interval(spark, folder):
     return m.select("task", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+# The bounds are where a binomial tail reaches alpha / 2: 50 halvings with plain tail sums.
+_term = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(({m})) + (n - k) * ln(1 - ({m})))"
+_upper_tail = "list_sum(list_transform(range(x, n + 1), lambda k: " + _term.format(m="(lo0 + lo1) / 2") + "))"
+_lower_tail = "list_sum(list_transform(range(0, x + 1), lambda k: " + _term.format(m="(hi0 + hi1) / 2") + "))"
 QUERIES["accuracy_interval"] = _interval
+SQL["accuracy_interval"] = (
+    "WITH RECURSIVE b AS (SELECT task, n, x, 0 AS step, 0.0::DOUBLE AS lo0, 1.0::DOUBLE AS lo1, 0.0::DOUBLE AS hi0, 1.0::DOUBLE AS hi1 FROM (SELECT task, "
+    "samples_seen_total_open_vocab AS n, floor(accuracy_open_vocab * samples_seen_total_open_vocab)::BIGINT AS x FROM (" + _ACC + ")) UNION ALL "
+    "SELECT task, n, x, step + 1, CASE WHEN up < 0.025 THEN (lo0 + lo1) / 2 ELSE lo0 END, CASE WHEN up < 0.025 THEN lo1 ELSE (lo0 + lo1) / 2 END, "
+    "CASE WHEN dn < 0.025 THEN hi0 ELSE (hi0 + hi1) / 2 END, CASE WHEN dn < 0.025 THEN (hi0 + hi1) / 2 ELSE hi1 END FROM (SELECT *, "
+    + _upper_tail + " AS up, " + _lower_tail + " AS dn FROM b WHERE step < 50)) "
+    "SELECT task, round((lo0 + lo1) / 2, 6) AS low, round((hi0 + hi1) / 2, 6) AS high FROM b WHERE step = 50"
+)
 
 
 # --- log-probabilities -----------------------------------------------------------------------

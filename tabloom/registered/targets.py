@@ -195,7 +195,7 @@ def _meta_grid(spark, folder):
 
 def _grid_sql(v):
     return (
-        f"SELECT i, (i::DOUBLE / p::DOUBLE * 100.0::DOUBLE / 100.0::DOUBLE) * (n - 1)::DOUBLE AS h, n, p FROM "
+        f"SELECT i, (i * (n - 1))::DOUBLE / p::DOUBLE AS h, n, p FROM "
         f"(SELECT count({v}) AS n, least(count({v}), 1000) - 1 AS p FROM orders), generate_series(0, 999) AS s(i) WHERE i <= p"
     )
 
