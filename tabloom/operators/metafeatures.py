@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import text
 from tabloom.operators.ordering import broadcast_if_small, _join_null_safe
+from tabloom.session import cut_lineage
 from tabloom.operators.quantiles import even_quantiles, value_ranks
 
 GRID_POINTS = 1000
@@ -56,6 +57,7 @@ def quantile_by_rank(df: DataFrame, columns: list[str], digits: int = 2, group:
         mid = (F.lit(2) * F.col("before") + F.col("cnt") - 1) / (F.lit(2.0) * last)
         q = F.when(F.col("before") == 0, 0.0).when(F.col("before") + F.col("cnt") == F.col("n"), 1.0).otherwise(mid)
         r = r.select(*group, F.col(c).alias("__v"), round_like_numpy(q, digits).alias(f"{c}__quantile"))
+        r = cut_lineage(r)  # counted here and joined later
         r = broadcast_if_small(r, r.count())
         df = df.withColumn("__v", F.col(c).cast("double"))
         df = df.join(r, [*group, "__v"], "left").drop("__v")

@@ -111,6 +111,28 @@ def test_tables_to_samples(spark, tmp_path, table):
     assert back == sum(rows.values())
 
 
+@pytest.mark.parametrize("limit", ["2000000", "0"])
+def test_shards_have_the_wanted_size(spark, tmp_path, limit):
+    """One table holds most rows; shards still come out near the target."""
+    s = spark.range(3000).select(
+        F.lpad(F.col("id").cast("string"), 6, "0").alias("row_id"), F.repeat(F.lit("x"), 1500).alias("text"), F.lit("y").alias("class_label_as_text"),
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 70).cast("string"))).alias("filename"), F.lit("train").alias("split"))
+    s = s.withColumn("key", F.concat_ws("__", "filename", "row_id"))
+    spark.conf.set("spark.tabloom.maxGroupRows", limit)
+    try:
+        files = tables_to_samples.to_shards(s, str(tmp_path), PipelineConfig(target_shard_mb=1, traineval_frac="0.5", chunk_size=1)).collect()
+    finally:
+        spark.conf.unset("spark.tabloom.maxGroupRows")
+    sizes = [os.path.getsize(r["path"]) for r in files]
+    assert len(files) >= 8 and max(sizes) < 1.5 * 1024 * 1024
+    back = sum(tar.read_tar(spark, os.path.dirname(p)).count() for p in {os.path.dirname(r["path"]) + "/" for r in files})
+    assert back == 3000
+    for r in files:
+        with tarfile.open(r["path"]) as t:
+            names = t.getnames()
+        assert names == sorted(names)
+
+
 def test_stream_equals_batch(spark, table, tmp_path):
     df = table("events")
     folder = str(tmp_path / "ev")
