@@ -151,16 +151,24 @@ def to_samples_by_spec(
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     target, label = F.col(spec_cols["target"]), F.col(spec_cols["label"])
     feats = [Feature(n, F.col(f"`{n}`"), dtypes[n], present=target != n) for n in columns]
-    body = serialize(
+    choices = F.col(spec_cols["choices"]) if "choices" in spec_cols else None
+    return df.select(*(keep or []), *sample_of(target, label, choices, serializer, feats, row_key, seed))
+
+
+def sample_of(target: Column, label: Column, choices, serializer: SerializerConfig, feats: list[Feature],
+              row_key: Column | None = None, seed=0, body: list[Column] | None = None) -> list[Column]:
+    """``text`` and ``class_label_as_text`` of rows whose target is a column value."""
+    whole = serialize(
         feats,
         serializer,
         prefix=prefix_text(default_prefix(target)) if serializer.use_prefix else "",
         suffix=suffix_text(default_suffix(target)) if serializer.use_suffix else "",
-        choices=F.col(spec_cols["choices"]) if "choices" in spec_cols else None,
+        choices=choices,
         row_key=row_key,
         seed=seed,
+        body=body,
     )
-    return df.select(*(keep or []), body.alias("text"), label.alias("class_label_as_text"))
+    return [whole.alias("text"), label.alias("class_label_as_text")]
 
 
 def drop_long(df: DataFrame, max_chars: int = 14336) -> DataFrame:

@@ -50,19 +50,7 @@ def column_profile(
     long = df.select(
         table.alias("table_id"), F.stack(F.lit(len(names)), *cells).alias("column", "value", "missing")
     )
-    values = long.groupBy("table_id", "column", "value", "missing").agg(F.count(F.lit(1)).alias("c"))
-    counted = F.lit(True) if null_is_value else ~F.col("missing")
-    prof = values.groupBy("table_id", "column").agg(
-        F.sum("c").alias("n"),
-        F.count_if(~F.col("missing")).alias("n_unique"),
-        F.count(F.lit(1)).alias("n_unique_with_null"),
-        F.coalesce(F.bool_and(F.when(counted, is_numeric_text(F.col("value")))), F.lit(True)).alias("all_numeric"),
-        (
-            F.coalesce(F.bool_and(F.when(counted, F.col("value").isin("0", "1"))), F.lit(False))
-            & (F.count_if(counted) == 2)
-        ).alias("is_binary01"),
-        F.coalesce(F.max(F.when(counted, F.length("value"))), F.lit(0)).alias("max_len"),
-    )
+    prof = _per_column(long, ["table_id", "column"], null_is_value)
     dates = [n for n in names if is_date_type(fields[n])]
     nested = [n for n in names if _is_nested(fields[n])]
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
@@ -81,6 +69,33 @@ def column_profile(
     )
 
 
+def _per_column(cells: DataFrame, keys: list[str], null_is_value: bool) -> DataFrame:
+    """Counts and flags per column from (keys, value, missing), one row per cell."""
+    values = cells.groupBy(*keys, "value", "missing").agg(F.count(F.lit(1)).alias("c"))
+    counted = F.lit(True) if null_is_value else ~F.col("missing")
+    return values.groupBy(*keys).agg(
+        F.sum("c").alias("n"),
+        F.count_if(~F.col("missing")).alias("n_unique"),
+        F.count(F.lit(1)).alias("n_unique_with_null"),
+        F.coalesce(F.bool_and(F.when(counted, is_numeric_text(F.col("value")))), F.lit(True)).alias("all_numeric"),
+        (
+            F.coalesce(F.bool_and(F.when(counted, F.col("value").isin("0", "1"))), F.lit(False))
+            & (F.count_if(counted) == 2)
+        ).alias("is_binary01"),
+        F.coalesce(F.max(F.when(counted, F.length("value"))), F.lit(0)).alias("max_len"),
+    )
+
+
+def records_profile(records: DataFrame, null_is_value: bool = True) -> DataFrame:
+    """The same profile for records of any schema (features with value and missing)."""
+    cells = records.select("table_id", F.explode("features").alias("f")).select(
+        "table_id", F.col("f.name").alias("column"), F.col("f.ordinal").alias("ordinal"), F.col("f.kind").alias("kind"),
+        F.when(F.col("f.kind") != "nested", F.col("f.value")).otherwise(F.lit("")).alias("value"), F.col("f.missing").alias("missing"),
+    )
+    prof = _per_column(cells, ["table_id", "column", "ordinal", "kind"], null_is_value)
+    return prof.withColumn("is_date", F.col("kind") == "time").withColumn("is_nested", F.col("kind") == "nested").drop("kind")
+
+
 def target_candidates(profile: DataFrame, config: TargetConfig = TargetConfig()) -> DataFrame:
     """Adds ``reason`` (null for a candidate) and ``is_candidate``; the first rule that fails names it."""
     all_unique = F.col("n_unique") == F.col("n")

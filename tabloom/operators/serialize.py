@@ -296,9 +296,11 @@ def serialize(
     context="",
     row_key: Column | None = None,
     seed=0,
+    body: list[Column] | None = None,
 ) -> Column:
     """Text of one row. ``prefix``, ``suffix`` and ``context`` are strings or Columns, ``choices`` a
-    list or an array Column."""
+    list or an array Column. ``body`` replaces the texts made from ``features`` (sentence and marker
+    styles only)."""
     if config.style not in STYLES:
         raise ValueError(f"unknown style: {config.style}")
     check_names([f.name for f in features], config.strict)
@@ -317,14 +319,14 @@ def serialize(
     loose = any(not isinstance(x, str) or (x and not x.strip()) for x in (prefix, suffix, context))
     if config.style == "structured":
         sep = ""
-        body = _structured_features(features, config, row_key, seed)
+        body = body or _structured_features(features, config, row_key, seed)
         body = [F.lit(STRUCTURE["example"][0]), *body, F.lit(STRUCTURE["example"][1])]
         prefix, suffix = (
             (a + c + b if c else "") if isinstance(c, str) else F.when(c != "", F.concat(F.lit(a), c, F.lit(b)))
             for (a, b), c in ((STRUCTURE["prefix"], prefix), (STRUCTURE["suffix"], suffix))
         )
     else:
-        body = _basic_features(features, config, row_key, seed)
+        body = body or _basic_features(features, config, row_key, seed)
         if config.style == "basic" and chosen is not None:
             chosen = text.strip(chosen)
             loose = True
@@ -335,6 +337,27 @@ def serialize(
     return text.strip(whole) if loose else whole
 
 
+def record_texts(features: Column, config: SerializerConfig, row_key: Column, seed=0) -> list[Column]:
+    """Feature texts of a record (array of ordinal, name, kind, value) for ``serialize(body=...)``."""
+    if config.style not in ("basic", "basic_v2", "structured"):
+        raise ValueError(f"records have no {config.style} form")
+    if config.feature_dropout > 0:
+        features = F.filter(features, lambda f: hashing.exceeds(config.feature_dropout, seed, "drop", row_key, f["name"]))
+    if config.shuffle_features:
+        ranked = F.transform(features, lambda f: F.struct(hashing.digest(seed, "order", row_key, f["name"]).alias("k"), f.alias("f")))
+        features = F.array_sort(ranked)["f"]
+    (k0, k1), (v0, v1) = STRUCTURE["key"], STRUCTURE["value"]
+
+    def sentence(f):
+        value = F.when(f["kind"].isin("text", "bytes"), text.tidy(f["value"])).otherwise(f["value"])
+        return F.concat(F.lit("The "), f["name"], F.lit(" is "), value, F.lit("."))
+
+    def marked(f):
+        return F.concat(F.lit(k0), f["name"], F.lit(k1 + v0), f["value"], F.lit(v1))
+
+    return [F.transform(features, marked if config.style == "structured" else sentence)]
+
+
 # Extension point: a style is a function (features, config, **texts) -> Column.
 CUSTOM: dict = {}
 

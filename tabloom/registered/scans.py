@@ -61,7 +61,7 @@ def _folder_scan(spark, folder):
     path = scratch_path(spark, "many")
     for name, cols in (("a", ["c_custkey", "c_name"]), ("b", ["c_custkey", "c_name"]), ("c", ["c_custkey", "c_acctbal"])):
         load(spark, folder, "customer").select(*cols).coalesce(1).write.parquet(f"{path}/{name}")
-    groups = tables.schema_groups(tables.list_tables(spark, path))
+    groups, _ = tables.schema_groups(tables.list_tables(spark, path))
     out = None
     for schema, paths in groups:
         g = tables.read_group(spark, paths).withColumn("table", F.element_at(F.split("table_id", "/"), -2))

@@ -92,6 +92,33 @@ def test_toy_tables(spark, name):
         assert {x["y"]: round(x["avg(r)"], 1) for x in r} == {0: 1.0, 1: 0.5}
 
 
+@pytest.mark.parametrize("style", ["basic_v2", "structured"])
+def test_records_give_the_same_samples_as_columns(spark, tmp_path, style):
+    """Every kind of column, missing values, two schemas, several row groups."""
+    from tabloom.sources import records
+
+    base = spark.range(500).select(
+        "id", F.when(F.col("id") % 9 > 0, F.col("id") * 1e-5).alias("f"), (F.col("id") % 2 == 0).alias("b"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit(" s"), (F.col("id") % 5).cast("string"), F.lit(". "))).alias("s"),
+        (F.col("id") % 3).cast("int").alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id,id % 2 * 0.5)").alias("t"),
+        F.expr("cast(date'2024-01-01' + cast(id % 4 as int) as date)").alias("d"), F.array(F.col("id").cast("double"), F.lit(None)).alias("a"),
+        F.encode(F.lit("é"), "ISO-8859-1").alias("raw"), F.expr("cast(id % 4 * 0.25 as decimal(5,2))").alias("dec"))
+    src = str(tmp_path / "in")
+    base.coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{src}/a")
+    base.select("f", "k", "s").coalesce(1).write.parquet(f"{src}/b")
+    cfg = SerializerConfig(style=style, shuffle_features=True, feature_dropout=0.2)
+    got = {}
+    for name, size in (("columns", "0"), ("records", str(2**40))):
+        spark.conf.set("spark.tabloom.schemaGroupBytes", size)
+        try:
+            out = tables_to_samples.run(spark, src, str(tmp_path / name), serializer=cfg, seed=5)
+        finally:
+            spark.conf.unset("spark.tabloom.schemaGroupBytes")
+        got[name] = sorted((r["key"], r["text"], r["class_label_as_text"], r["split"]) for r in out.collect())
+    assert len(got["columns"]) == 1000 and got["columns"] == got["records"]
+    assert records.read_records(tables.list_tables(spark, src)).count() == 1000
+
+
 def test_tables_to_samples(spark, tmp_path, table):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = {}
