@@ -148,15 +148,18 @@ def with_choices(
     seed=0,
     max_choices: int = 8,
     inline: int = INLINE_LABELS,
+    labels_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``choices``: all labels of the group, or the true label and random others.
 
     ``max_choices`` different positions are drawn; the true label is struck out if it came up.
     Rows therefore never need the index of their own label, and a label that fills a third of a
     table causes no skewed join. Domains of up to ``inline`` labels travel as one array per group;
-    larger ones are looked up by (group, position), which spreads evenly.
+    larger ones are looked up by (group, position), which spreads evenly. ``labels_from`` may give
+    the labels of the same rows from a cheaper scan.
     """
-    distinct = df.select(*group, label).distinct()
+    source = df if labels_from is None else labels_from
+    distinct = source.select(*group, label).distinct()
     sizes = distinct.groupBy(*group).agg(
         F.count(F.lit(1)).alias("__m"), F.sum(F.length(label) + 16).alias("__bytes")
     )
@@ -194,7 +197,7 @@ def with_choices(
         rows = join(df, small).withColumn("__m", F.size("__values").cast("long"))
         parts.append(rows.withColumn("choices", chosen).drop("__values", "__m"))
     if stat["big"]:
-        domain = label_domain(df, group, label, bound=stat["m"])
+        domain = label_domain(source, group, label, bound=stat["m"])
         big = broadcast_if_small(sizes.where(~is_small).select(*group, "__m"), stat["big"])
         rows = join(df, big)
         wanted = rows.select(*group, *row_keys, F.posexplode(draws).alias("__j", "idx"))
