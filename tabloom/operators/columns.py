@@ -141,12 +141,9 @@ def drop_missing(df: DataFrame, how: str, columns: list[str] | None = None) -> D
 
 def normalize(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation of each column, in one pass."""
-    aggs = [e for c in columns for e in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))]
-    out = df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
-    for c in columns:
-        s = F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}"))
-        out = out.withColumn(c, (F.col(c) - F.col(f"__m_{c}")) / s)
-    return out.drop(*[f"__m_{c}" for c in columns], *[f"__s_{c}" for c in columns])
+    aggs = [e for c in columns for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
+    stats = df.agg(*aggs).first()
+    return df.withColumns({c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns})
 
 
 # --- per-source derivations ------------------------------------------------------------------

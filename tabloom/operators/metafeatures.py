@@ -32,15 +32,17 @@ def scaled(df: DataFrame, columns: list[str], digits: int = 2, group: list[str]
     for c in columns:
         x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
         aggs += [F.avg(x).alias(f"__mean_{c}"), F.stddev_pop(x).alias(f"__std_{c}")]
-    stats = df.groupBy(*group).agg(*aggs)
-    if group:
-        n_groups = stats.count()
-        df = _join_null_safe(df, broadcast_if_small(stats, n_groups), group)
+    if not group:
+        row = df.agg(*aggs).first()
+        mean = {c: F.lit(row[f"__mean_{c}"]) for c in columns}
+        std = {c: F.lit(row[f"__std_{c}"] or 1.0) for c in columns}
     else:
-        df = df.crossJoin(F.broadcast(stats))  # one row
+        stats = cut_lineage(df.groupBy(*group).agg(*aggs))  # counted here and joined below
+        df = _join_null_safe(df, broadcast_if_small(stats, stats.count()), group)
+        mean = {c: F.col(f"__mean_{c}") for c in columns}
+        std = {c: F.when(F.col(f"__std_{c}") == 0, 1.0).otherwise(F.col(f"__std_{c}")) for c in columns}
     for c in columns:
-        std = F.when(F.col(f"__std_{c}") == 0, 1.0).otherwise(F.col(f"__std_{c}"))
-        z = (F.col(c).cast("double") - F.col(f"__mean_{c}")) / std
+        z = (F.col(c).cast("double") - mean[c]) / std[c]
         df = df.withColumn(f"{c}__scale", round_like_numpy(z, digits))
     return df.drop(*[f"__mean_{c}" for c in columns], *[f"__std_{c}" for c in columns])
 

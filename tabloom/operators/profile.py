@@ -175,9 +175,10 @@ def value_counts(df: DataFrame, column: str, group: list[str] | None = None) ->
     """Absolute and relative frequency of each value (missing values are not counted as a value)."""
     group = group or []
     dt = df.schema[column].dataType
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__total"))
     counts = (
         df.where(~is_missing(F.col(column), dt)).groupBy(*group, column).agg(F.count(F.lit(1)).alias("count"))
     )
-    joined = counts.join(totals, group) if group else counts.crossJoin(F.broadcast(totals))
-    return joined.withColumn("share", F.col("count") / F.col("__total")).drop("__total")
+    if not group:
+        return counts.withColumn("share", F.col("count") / F.lit(df.count()))
+    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__total"))
+    return counts.join(totals, group).withColumn("share", F.col("count") / F.col("__total")).drop("__total")

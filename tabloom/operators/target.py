@@ -171,6 +171,9 @@ def with_choices(
         F.count_if(is_small).alias("small"),
         F.count_if(~is_small).alias("big"),
     ).first()
+    if not group and stat["b"] > MAX_BROADCAST_BYTES and inline > 0:
+        # Few but huge labels: looked up by position instead of carried along.
+        return with_choices(df, group, label, row_keys, seed, max_choices, 0, labels_from)
     draws = distinct_draws(F.col("__m"), max_choices, seed, "choices", *[F.col(k) for k in row_keys])
 
     def finish(values: Column) -> Column:
@@ -178,7 +181,11 @@ def with_choices(
         return F.concat(F.array(F.col(label)), others)
 
     def join(left, right):
-        return left.join(right, group) if group else left.crossJoin(right)
+        if group:
+            return left.join(right, group)
+        # A single group has a single row of settings, which travels as literals.
+        row = right.first()
+        return left.withColumns({c: F.lit(row[c]) for c in right.columns})
 
     parts = []
     if stat["small"]:

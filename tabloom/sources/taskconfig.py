@@ -146,6 +146,6 @@ def get_config(task: str, known: dict[str, TaskConfig], override: TaskConfig | N
 
 def join_configs(df: DataFrame, configs: DataFrame, task: str = "task") -> DataFrame:
     """Rows with their task's configuration; a row whose task has none is an error."""
-    c = F.broadcast(configs) if configs.count() <= 100_000 else configs
+    c = F.broadcast(configs) if configs.count() <= 10_000 else configs
     out = df.join(c, task, "left")
     return out.withColumn("prefix", F.coalesce("prefix", F.raise_error(F.concat(F.lit("no configuration for "), F.col(task)))))
