@@ -122,7 +122,7 @@ def discretize(df: DataFrame, value: str, buckets: int = 4, out: str | None = No
 # --- choices ---------------------------------------------------------------------------------
 
 def distinct_draws(n: Column, k: int, seed, *keys) -> Column:
-    """``k`` different whole numbers in [0, n) in random order; n must be at least k.
+    """``k`` (or n, if that is less) different whole numbers in [0, n) in random order.
 
     Draw j is taken among the n - j numbers still free and moved up past the taken ones.
     """
@@ -132,7 +132,8 @@ def distinct_draws(n: Column, k: int, seed, *keys) -> Column:
         free = F.aggregate(F.array_sort(taken), r, lambda p, c: F.when(c <= p, p + 1).otherwise(p))
         return F.concat(taken, F.array(free))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.expr("cast(array() as array<bigint>)"), step)
+    last = (F.least(F.lit(k).cast("long"), n) - 1).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), last), F.expr("cast(array() as array<bigint>)"), step)
 
 
 def label_domain(df: DataFrame, group: list[str], label: str, bound: int | None = None) -> DataFrame:
@@ -214,7 +215,7 @@ def with_choices(
         )
         parts.append(
             rows.join(lists, [*group, *row_keys])
-            .withColumn("choices", finish(F.col("__l.__v")))
+            .withColumn("choices", F.when(F.col("__m") <= max_choices, F.array_sort("__l.__v")).otherwise(finish(F.col("__l.__v"))))
             .drop("__l", "__m")
         )
     out = parts[0] if parts else df.withColumn("choices", F.array(F.col(label)))

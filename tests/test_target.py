@@ -73,6 +73,14 @@ def test_choices_do_not_depend_on_how_labels_travel(spark):
     assert c.count() == 3000 and c.where("g = '1'").select("choices").distinct().collect() == [(["k"],)]
 
 
+def test_huge_labels_take_the_lookup(spark, monkeypatch):
+    df = spark.range(60).withColumn("y", F.concat(F.lit("y"), (F.col("id") % 5).cast("string")))
+    want = target.with_choices(df, [], "y", ["id"]).orderBy("id").collect()
+    monkeypatch.setattr(target, "MAX_BROADCAST_BYTES", 10)
+    got = target.with_choices(df, [], "y", ["id"]).orderBy("id").collect()
+    assert [r["choices"] for r in got] == [r["choices"] for r in want] == [[f"y{i}" for i in range(5)]] * 60
+
+
 def test_draws_are_uniform_and_distinct(spark):
     df = spark.range(20000).select(target.distinct_draws(F.lit(6), 4, 9, F.col("id")).alias("d"))
     rows = [tuple(r["d"]) for r in df.collect()]
