@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, line_dedup, quality, secrets, token_counts
+from tabloom.llm import ann, bpe, licenses, line_dedup, mixing, quality, secrets, simhash, token_counts, urls
 from tabloom.llm.common import load
 
 PIECES = "piece_bpe_32k.model"
@@ -30,6 +30,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge_urls(load(spark, sf_dir, "pages"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.find_licenses(load(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     q = F.col("quality")
@@ -38,6 +58,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth vector."""
+    return ann.search(load(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that other documents have too."""
     out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
@@ -89,7 +114,12 @@ FROM m GROUP BY rid
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
+    "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
