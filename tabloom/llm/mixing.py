@@ -2,7 +2,7 @@
 
 A source gets its share of the whole budget, at most twice what it holds; whole passes over the source
 come first. For the rest the documents are counted by their exact length. A proportional part of every
-length is taken, and what then remains of the budget is a bounded knapsack over the lengths that are
+length is taken, and what then remains of the budget (RESERVE words at least) is a bounded knapsack over the lengths that are
 left, solved by dynamic programming over the sums that can be reached. The result is a number of
 documents per length; a seeded order says which.
 
@@ -24,6 +24,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SUMS = 1 << 16  # words of a budget that the knapsack decides; beyond that, the largest documents that fit go in first
+RESERVE = 1 << 13  # words of a budget that are left to the knapsack at least
 SEED = "mix"
 
 
@@ -66,7 +67,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     whole = int((sizes * counts).sum())
     if whole <= 0 or budget <= 0:
         return picks
-    picks = np.minimum(np.floor(counts * (budget / whole)).astype(np.int64), counts)
+    picks = np.minimum(np.floor(counts * (max(0.0, budget - RESERVE) / whole)).astype(np.int64), counts)
     left = budget - float((picks * sizes).sum())
     for k in np.argsort(-sizes, kind="stable"):
         if left <= SUMS:
@@ -79,8 +80,9 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     if not len(able) or left < 0.5:
         return picks
     smallest = int(sizes[able].min())
-    most = int(left) + smallest  # a sum above the budget is worth considering up to here
-    if most > 4 * SUMS:
+    # A sum above the budget by the largest document or more is never the nearest.
+    most = min(int(left) + int(sizes[able].max()), 4 * SUMS)
+    if int(left) + smallest > most:
         # Only documents of more than the window are left: the smallest one, or none.
         if smallest - left < left:
             picks[able[np.argmin(sizes[able])]] += 1
