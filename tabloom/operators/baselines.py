@@ -90,10 +90,12 @@ def train_and_score(train: DataFrame, test: DataFrame, features: list[str], labe
                     n_trials: int = 10, seed: int = 0, max_iter: int = 1000, parallelism: int = 4):
     """Fits with cross-validated settings and returns (model, metrics).
 
-    Tuning is skipped for a single trial or when a class has no more rows than there are folds.
+    Tuning is skipped for a single trial or when a class has no more rows than there are folds;
+    ``tuned`` in the metrics says so. Trees are boosted one class against the rest where there are
+    more than two.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.tuning import CrossValidator
@@ -113,10 +115,13 @@ def train_and_score(train: DataFrame, test: DataFrame, features: list[str], labe
         est = LogisticRegression(maxIter=max_iter, standardization=False, **args)
         settings = [{est.regParam: r} for r in regularization_grid(n_trials, n_train)] if can_tune else []
     elif model == "boosted_trees":
-        est = GBTClassifier(seed=seed, **args) if classes == 2 else RandomForestClassifier(seed=seed, **args)
-        settings = [
-            {est.getParam(k): v for k, v in s.items() if est.hasParam(k)} for s in tree_grid(n_trials, seed)
-        ] if can_tune else []
+        est = GBTClassifier(seed=seed, **args)
+        grid = tree_grid(n_trials, seed) if can_tune else []
+        settings = [{est.getParam(k): v for k, v in s.items()} for s in grid]
+        if classes > 2:
+            one = est
+            est = OneVsRest(classifier=one, **args)
+            settings = [{est.classifier: one.copy(s)} for s in settings]
     else:
         raise ValueError(f"unknown model: {model}")
     stage = est

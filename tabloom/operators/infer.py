@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import tokens as K
 from tabloom.operators.evaluate import parse_completion
-from tabloom.operators.ordering import broadcast_if_small, position
+from tabloom.operators.ordering import broadcast_if_small, join_null_safe, position
 from tabloom.operators.target import distinct_draws
 
 # A model factory is called once per task; the model maps a batch of prompts and their token
@@ -18,10 +18,10 @@ from tabloom.operators.target import distinct_draws
 Model = Callable[[list[str], list[int]], list[str]]
 
 
-def with_shots(targets: DataFrame, keys: list[str], pool: DataFrame, pool_order: list, k: int | None = None, seed=0) -> DataFrame:
+def with_shots(targets: DataFrame, keys: list[str], pool: DataFrame, pool_order: list, k: int | None, seed=0) -> DataFrame:
     """Adds ``shots``: array of (text, label) drawn without replacement for every target.
 
-    ``pool`` has ``text`` and ``class_label_as_text``. With ``k`` none or not below the pool size
+    ``pool`` has ``text`` and ``class_label_as_text``. ``k`` has to be given: with none or not below the pool size
     every labelled row is a shot, in a hashed order per target. Positions are drawn and looked up
     by equality, never by pairing targets with the pool.
     """
@@ -35,7 +35,7 @@ def with_shots(targets: DataFrame, keys: list[str], pool: DataFrame, pool_order:
     lookup = placed.select("__pos", F.struct(F.col("text"), F.col("class_label_as_text").alias("label")).alias("__s"))
     found = wanted.join(broadcast_if_small(lookup, n), "__pos")
     lists = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__j", "__s"))).alias("__l"))
-    return targets.join(lists, keys).withColumn("shots", F.col("__l.__s")).drop("__l")
+    return join_null_safe(targets, lists, keys).withColumn("shots", F.col("__l.__s")).drop("__l")
 
 
 def prompts(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import text
-from tabloom.operators.ordering import broadcast_if_small, _join_null_safe
+from tabloom.operators.ordering import broadcast_if_small, join_null_safe
 from tabloom.session import cut_lineage
 from tabloom.operators.quantiles import even_quantiles, value_ranks
 
@@ -38,7 +38,7 @@ def scaled(df: DataFrame, columns: list[str], digits: int = 2, group: list[str]
         std = {c: F.lit(row[f"__std_{c}"] or 1.0) for c in columns}
     else:
         stats = cut_lineage(df.groupBy(*group).agg(*aggs))  # counted here and joined below
-        df = _join_null_safe(df, broadcast_if_small(stats, stats.count()), group)
+        df = join_null_safe(df, broadcast_if_small(stats, stats.count()), group)
         mean = {c: F.col(f"__mean_{c}") for c in columns}
         std = {c: F.when(F.col(f"__std_{c}") == 0, 1.0).otherwise(F.col(f"__std_{c}")) for c in columns}
     for c in columns:

@@ -46,7 +46,7 @@ def _rename_group(df: DataFrame, group: list[str], tag: str) -> DataFrame:
     return df
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; the right keys are dropped."""
     r = _rename_group(right, keys, "__r_")
     cond = F.lit(True)
@@ -81,7 +81,7 @@ def hash_position(
         F.sum("__n").over(by_group).alias("__total"),
     )
     w = Window.partitionBy(*group, chunk).orderBy(h, *keys)
-    placed = _join_null_safe(keyed, offsets, [*group, chunk])
+    placed = join_null_safe(keyed, offsets, [*group, chunk])
     placed = placed.withColumn(out, F.col("__off") + F.row_number().over(w) - 1)
     if total:
         placed = placed.withColumn(total, F.col("__total"))
@@ -152,7 +152,7 @@ def _range_position(df, group, order, out, total, weight):
         )
     )
     offsets = broadcast_if_small(offsets, offsets.count())
-    placed = _join_null_safe(laid, offsets, [*group, "__part"])
+    placed = join_null_safe(laid, offsets, [*group, "__part"])
     if weight:
         w = Window.partitionBy(*group, "__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
         inside = F.coalesce(F.sum(weight).over(w), F.lit(0))

@@ -55,10 +55,13 @@ def pack(
     merge_by_key: bool = True,
     trim_extra_bos: bool = False,
     bos_id: int = K.BOS_ID,
+    tail: str = "keep",
 ) -> DataFrame:
-    """One sequence per run of ``batch_size`` samples, cut at ``max_len``; the rest is dropped.
+    """Sequences of at most ``max_len`` tokens from runs of ``batch_size`` samples.
 
-    ``example_ids`` tell the samples (or tables) apart, ``position_ids`` restart with each, and
+    A run that is longer goes on in further sequences, numbered by ``part``; no token is lost.
+    ``tail="drop"`` keeps the first sequence of a run only and says in ``dropped`` how many of its
+    tokens are not in it. ``example_ids`` tell the samples (or tables) apart, ``position_ids`` restart with each, and
     ``spans`` give the same blocks compactly: token i may attend to j <= i of its own span.
     """
     df = with_batch(df, shard, order, batch_size)
@@ -69,36 +72,53 @@ def pack(
         ids = _trim_bos(F.col("input_ids"), F.col("input_ids"), first, bos_id)
         df = df.withColumn("labels", labels).withColumn("input_ids", ids)
     df = island_ids(df, keys, ["slot"], key, merge_by_key)
-    # Tokens before a sample decide whether it is still inside the sequence: samples behind the
-    # cut are dropped before any token is collected.
+    # Tokens before a sample decide which sequences it is in: it is sliced before any token is
+    # collected, and with tail="drop" what is behind the cut never is.
     w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__start", F.coalesce(F.sum(F.size("input_ids")).over(w), F.lit(0)).cast("int"))
     w_is = Window.partitionBy(*keys, "example_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__in_run", F.coalesce(F.sum(F.size("input_ids")).over(w_is), F.lit(0)).cast("int"))
-    df = df.where(F.col("__start") < max_len)
-    n = F.least(F.size("input_ids"), F.lit(max_len) - F.col("__start"))
+    size, start = F.size("input_ids"), F.col("__start")
+    last = F.greatest(F.floor((start + size - 1) / max_len), F.floor(start / max_len)).cast("int")
+    more = []
+    if tail == "drop":
+        total = F.sum(size).over(Window.partitionBy(*keys))
+        df = df.withColumn("dropped", F.greatest(total - max_len, F.lit(0)).cast("long")).where(start < max_len)
+        df = df.withColumn("part", F.lit(0))
+        more = ["dropped"]
+    elif tail == "keep":
+        df = df.withColumn("part", F.explode(F.sequence(F.floor(start / max_len).cast("int"), last)))
+    else:
+        raise ValueError(f"unknown tail: {tail}")
+    # What of the sample is in this sequence: from token ``skip`` on, ``n`` tokens.
+    skip = F.greatest(F.col("part") * max_len - start, F.lit(0))
+    n = F.least(size - skip, (F.col("part") + 1) * max_len - start - skip)
+    keys = [*keys, "part"]
     df = df.select(
         *keys,
+        *more,
         "slot",
         "example_id",
-        F.col("__start").alias("start"),
+        (start + skip - F.col("part") * max_len).alias("start"),
         n.alias("len"),
-        F.slice("input_ids", F.lit(1), n).alias("ids"),
-        F.slice("labels", F.lit(1), n).alias("labels"),
+        F.slice("input_ids", skip + 1, n).alias("ids"),
+        F.slice("labels", skip + 1, n).alias("labels"),
         F.array_repeat(F.col("example_id"), n).alias("ex"),
-        F.when(n > 0, F.sequence(F.col("__in_run"), F.col("__in_run") + n - 1)).otherwise(F.expr("cast(array() as array<int>)")).alias("ps"),
+        F.when(n > 0, F.sequence(F.col("__in_run") + skip, F.col("__in_run") + skip + n - 1))
+        .otherwise(F.expr("cast(array() as array<int>)")).alias("ps"),
     )
-    got = df.groupBy(*keys).agg(
+    got = df.groupBy(*keys, *more).agg(
         F.sort_array(F.collect_list(F.struct("slot", "ids", "labels", "ex", "ps"))).alias("s"),
         F.sort_array(F.collect_list(F.struct("start", "len", "example_id"))).alias("p"),
     )
     return got.select(
         *keys,
+        *more,
         F.flatten("s.ids").alias("input_ids"),
         F.flatten("s.labels").alias("labels"),
         F.flatten("s.ex").alias("example_ids"),
         F.flatten("s.ps").alias("position_ids"),
-        _merge_spans(F.col("p")).alias("spans"),
+        _merge_spans(F.filter("p", lambda x: x["len"] > 0)).alias("spans"),
     )
 
 
@@ -145,7 +165,9 @@ def few_shot(
     """Every sample once as the target behind the other samples of its run as shots.
 
     Runs have ``num_shots + 1`` samples (the last may be shorter). Shots come in a hashed order
-    that differs per target and their labels are masked. ``keys`` identify a sample.
+    that differs per target and their labels are masked. ``keys`` identify a sample. Where shots
+    and target exceed ``max_len``, the shots are cut from their end; of a target that is too long by
+    itself its last tokens stay, which hold the label. ``n_cut`` counts the tokens left out.
     """
     df = with_batch(df, shard, order, num_shots + 1)
     group = [*shard, "batch"]
@@ -171,11 +193,19 @@ def few_shot(
     last_ids = F.when(have, body(F.col("t.input_ids"))).otherwise(F.col("t.input_ids"))
     last_labels = F.when(have, body(F.col("t.labels"))).otherwise(F.col("t.labels"))
     context = F.flatten(parts)
-    each = each.withColumn("__ctx", context)
+    each = each.withColumn("__ctx", context).withColumn("__ids", last_ids).withColumn("__labels", last_labels)
+    size = F.size("__ids")
+    room = F.greatest(F.lit(max_len) - size, F.lit(0))
+    before = F.slice("__ctx", F.lit(1), room)
+
+    def tail(c: str) -> Column:
+        return F.slice(c, F.greatest(size - max_len, F.lit(0)) + 1, F.lit(max_len))
+
     return each.select(
         *group,
         F.col("t.slot").alias("slot"),
         *[F.col(f"t.{k}").alias(k) for k in keys],
-        F.slice(F.concat("__ctx", last_ids), 1, max_len).alias("input_ids"),
-        F.slice(F.concat(F.array_repeat(F.lit(K.IGNORE), F.size("__ctx")), last_labels), 1, max_len).alias("labels"),
+        F.concat(before, tail("__ids")).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(K.IGNORE), F.least(F.size("__ctx"), room)), tail("__labels")).alias("labels"),
+        F.greatest(F.size("__ctx") + size - max_len, F.lit(0)).alias("n_cut"),
     )

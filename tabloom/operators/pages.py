@@ -6,6 +6,7 @@ runs over Arrow batches of whole pages. Everything after it is DataFrame work.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ SUMMARY_FIELDS = (
 SECTION_FIELDS = (
     "Dataset Information", "Additional Variable Information", "Introductory Paper", "Papers Citing this Dataset",
 )
+# Classes and column titles of those pages.
 SECTION_CLASS = "whitespace-pre-wrap svelte-17wf9gp"
 TABLE_CLASS = "w-full"
 VARIABLE_COLUMNS = ("Variable Name", "Role", "Type", "Demographic", "Description", "Units", "Missing Values")
@@ -32,8 +34,9 @@ _HIDDEN = {"script", "style", "template"}
 class _Events(HTMLParser):
     """Keeps the stack of open elements and hands text and elements to a subclass."""
 
-    def __init__(self):
+    def __init__(self, *settings):
         super().__init__(convert_charrefs=True)
+        self.settings = settings
         self.open: list[tuple[str, int]] = []
         self.serial = 0
 
@@ -62,8 +65,12 @@ class _Events(HTMLParser):
         self.break_text()
 
     def run(self, html):
-        self.feed(html or "")
-        self.close()
+        """Reads a page. One with a malformed declaration is read again without its declarations."""
+        try:
+            self.feed(html or "")
+            self.close()
+        except AssertionError:
+            return type(self)(*self.settings).run(re.sub(r"<!\[[^>]*>?", "", html))
         self.break_text()
         while self.open:
             self.end(*self.open.pop())
@@ -100,7 +107,7 @@ class _Sections(_Events):
     """Paragraph after each wanted heading: beside it, or (with a class) anywhere after it."""
 
     def __init__(self, beside, after, after_class):
-        super().__init__()
+        super().__init__(beside, after, after_class)
         self.beside, self.after, self.after_class = set(beside), set(after), after_class
         self.found: dict[str, str] = {}
         self.waiting: list[tuple[str, int | None]] = []  # field, parent of its heading
@@ -148,7 +155,7 @@ class _Table(_Events):
     """Cells of the first table of a class; the header row is left out."""
 
     def __init__(self, cls):
-        super().__init__()
+        super().__init__(cls)
         self.cls, self.inside, self.done = cls, None, False
         self.rows: list[list[str]] = []
         self.cell = None

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tabloom.config import TargetConfig
 from tabloom.functions import text
+from tabloom.operators.ordering import join_null_safe
 
 # Fixed value: a string that counts as a number.
 NUMERIC_PATTERN = r"(?U)^-?\d+(\.+\d+)?$"
@@ -181,4 +182,4 @@ def value_counts(df: DataFrame, column: str, group: list[str] | None = None) ->
     if not group:
         return counts.withColumn("share", F.col("count") / F.lit(df.count()))
     totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__total"))
-    return counts.join(totals, group).withColumn("share", F.col("count") / F.col("__total")).drop("__total")
+    return join_null_safe(counts, totals, group).withColumn("share", F.col("count") / F.col("__total")).drop("__total")

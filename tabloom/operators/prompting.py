@@ -45,14 +45,7 @@ def table_metadata(df: DataFrame, task: str, target: str, columns: list[str] | N
     dist = value_counts(df, target)
     shown = F.concat_ws(" ", text.py_str(F.col(target), df.schema[target].dataType), F.col("count").cast("string"), text.py_float(F.round("share", 6)))
     top = dist.select((-F.col("count")).alias("c"), shown.alias("t"))
-    # As in a printed series, more than 60 values show as the first and last five.
-    if top.count() > 60:
-        head, tail = top.orderBy("c", "t").limit(5), top.orderBy(F.desc("c"), F.desc("t")).limit(5)
-        gap = top.sparkSession.range(1).select(F.lit("..").alias("t"), F.lit(1).alias("k"), F.lit(0).cast("long").alias("c"))
-        top = head.withColumn("k", F.lit(0)).unionByName(gap).unionByName(tail.withColumn("k", F.lit(2)))
-    else:
-        top = top.withColumn("k", F.lit(0))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("k", "c", "t"))), lambda s: s["t"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("c", "t"))), lambda s: s["t"])
     body = top.agg(F.array_join(lines, "\n").alias("body"))
     return desc.select(
         F.lit(task).alias("task"), F.lit(1).alias("ord"), F.lit("data_description").alias("key"),
@@ -124,14 +117,6 @@ def make_feature_prompts(metadata: DataFrame, features: DataFrame, name: str, te
     return both.select("task", F.col("name").alias("feature"), body.alias("prompt"))
 
 
-def context_with_features(instructions: str, context: Column, features: Column) -> Column:
-    """Instructions, dataset details and the feature list in sections of their own."""
-    return F.concat(
-        F.lit(instructions + SECTION_SEP + "Before the list of features, here are some more details about the dataset:\n"),
-        context, F.lit(SECTION_SEP + "Here is the list of features: "), features,
-    )
-
-
 def extract_urls(c: Column) -> Column:
     """All URLs, without punctuation at their end."""
     return F.regexp_extract_all(c, F.lit(URL_PATTERN), F.lit(0))

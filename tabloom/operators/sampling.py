@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import hashing
-from tabloom.operators.ordering import _join_null_safe, broadcast_if_small, hash_position, position
+from tabloom.operators.ordering import join_null_safe, broadcast_if_small, hash_position, position
 
 
 def share_count(n: Column, share: str) -> Column:

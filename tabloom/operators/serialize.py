@@ -19,8 +19,6 @@ from tabloom.functions import hashing, text
 from tabloom.functions.tokens import CHOICE_SEP, STRUCTURE
 
 STYLES = ("basic", "basic_v2", "structured", "pandas", "html", "html_compact", "json")
-# Fixed value: the HTML form shows this many entries of a mapping before it stops.
-HTML_MAX_ITEMS = 100
 
 
 @dataclass(frozen=True)
@@ -240,11 +238,8 @@ def _mapping(features, config, row_key, seed, flavour) -> Column:
             shown = text.py_float(m)
             t += [F.lit(f", {q}{k}{q}: "), _json_number(shown) if flavour == "json" else shown]
         parts.append(F.concat(*t, F.lit("}")))
-    more = ""
-    if flavour == "html" and len(parts) > HTML_MAX_ITEMS and not config.shuffle_features:
-        features, parts, more = features[:HTML_MAX_ITEMS], parts[:HTML_MAX_ITEMS], ", ..."
     body = F.concat_ws(", ", *_arranged(features, parts, config, row_key, seed))
-    return F.concat(F.lit("{"), body, F.lit(more + "}"))
+    return F.concat(F.lit("{"), body, F.lit("}"))
 
 
 def _dict_style(style, features, config, prefix, suffix, choices, context, row_key, seed) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.config import TargetConfig
 from tabloom.functions import hashing, text
-from tabloom.operators.ordering import broadcast_if_small, position
+from tabloom.operators.ordering import broadcast_if_small, join_null_safe, position
 from tabloom.operators.quantiles import even_quantiles
 
 # Bytes of choice lists that may be broadcast, after summing them.
@@ -183,7 +183,7 @@ def with_choices(
 
     def join(left, right):
         if group:
-            return left.join(right, group)
+            return join_null_safe(left, right, group)
         # A single group has a single row of settings, which travels as literals.
         row = right.first()
         return left.withColumns({c: F.lit(row[c]) for c in right.columns})
@@ -209,12 +209,12 @@ def with_choices(
         big = broadcast_if_small(sizes.where(~is_small).select(*group, "__m"), stat["big"])
         rows = join(df, big)
         wanted = rows.select(*group, *row_keys, F.posexplode(draws).alias("__j", "idx"))
-        found = wanted.join(domain.select(*group, "idx", F.col(label).alias("__v")), [*group, "idx"])
+        found = join_null_safe(wanted, domain.select(*group, "idx", F.col(label).alias("__v")), [*group, "idx"])
         lists = found.groupBy(*group, *row_keys).agg(
             F.sort_array(F.collect_list(F.struct("__j", "__v"))).alias("__l")
         )
         parts.append(
-            rows.join(lists, [*group, *row_keys])
+            join_null_safe(rows, lists, [*group, *row_keys])
             .withColumn("choices", F.when(F.col("__m") <= max_choices, F.array_sort("__l.__v")).otherwise(finish(F.col("__l.__v"))))
             .drop("__l", "__m")
         )

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,10 +169,9 @@ def filter_length(df: DataFrame, max_len: int, mode: str = "at_most", too_long:
 def pad_batches(df: DataFrame, batch: list[str], pad_id: int = K.PAD_ID) -> DataFrame:
     """Right-pads ids and labels to the longest row of their batch; ``pad_mask`` is true on content.
 
-    The longest length comes from an aggregate joined back, so a batch is never collected.
+    A batch is bounded: it is what a model sees at once. A null batch is a batch like any other.
     """
-    longest = df.groupBy(*batch).agg(F.max(F.size("input_ids")).alias("__len"))
-    out = df.join(longest, batch)
+    out = df.withColumn("__len", F.max(F.size("input_ids")).over(Window.partitionBy(*batch)))
     gap = F.col("__len") - F.size("input_ids")
     return (
         out.withColumn("pad_mask", F.concat(F.array_repeat(F.lit(True), F.size("input_ids")), F.array_repeat(F.lit(False), gap)))

@@ -123,6 +123,19 @@ def _table_metadata(spark, folder):
     return m.where("key = 'target_distribution'").select("task", "ord", "key", "body")
 
 
+def _many_classes(spark, folder):
+    """A target with a class for every part name and size: the distribution names them all."""
+    df = load(spark, folder, "part").select(F.concat_ws(" of ", "p_name", F.col("p_size").cast("string")).alias("kind"))
+    m = prompting.table_metadata(df, "part", "kind", ["kind"])
+    return m.where("key = 'target_distribution'").select("task", F.size(F.split("body", "\n")).cast("long").alias("classes"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+_LINE = "kind || ' ' || k || ' ' || CASE WHEN round(k::DOUBLE / n, 6) < 0.0001 THEN regexp_replace(format('{:e}', round(k::DOUBLE / n, 6)), '[.]?0+e', 'e') ELSE round(k::DOUBLE / n, 6)::VARCHAR END"
+QUERIES["distribution_many_classes"] = _many_classes
+SQL["distribution_many_classes"] = (
+    f"SELECT 'part' AS task, count(*) AS classes, md5(string_agg(line, E'\n' ORDER BY k DESC, line)) AS body_md5 FROM (SELECT k, {_LINE} AS line FROM "
+    "(SELECT p_name || ' of ' || p_size AS kind, count(*) AS k, sum(count(*)) OVER () AS n FROM part GROUP BY 1))"
+)
 QUERIES["target_distribution"] = _table_metadata
 SQL["target_distribution"] = (
     "SELECT 'customer' AS task, 2 AS ord, 'target_distribution' AS key, string_agg(c_mktsegment || ' ' || k || ' ' || round(k::DOUBLE / n, 6)::VARCHAR, E'\\n' ORDER BY k DESC, "

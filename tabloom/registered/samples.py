@@ -202,7 +202,7 @@ _TOK = (
 )
 _IGN = "list_transform(src, lambda x: -100)"
 QUERIES["label_mask"] = lambda spark, folder: _tokens(spark, folder).select(
-    "doc_id", F.size("input_ids").alias("n"), F.md5(joined(F.col("input_ids")).cast("binary")).alias("ids_md5"),
+    "doc_id", "n_cut", F.size("input_ids").alias("n"), F.md5(joined(F.col("input_ids")).cast("binary")).alias("ids_md5"),
     F.md5(joined(F.col("labels")).cast("binary")).alias("labels_md5"), joined(tokenize.unmasked(F.col("labels"))).alias("target_ids"),
     F.array_min(tokenize.unmasked_positions(F.col("labels"))).alias("first"))
 SQL["label_mask"] = (
@@ -283,13 +283,14 @@ QUERIES["table_islands"] = _islands
 SQL["table_islands"] = f"SELECT key, batch, slot, ex AS example_id FROM ({_ISLAND.format(b=_BATCHED.format(n=10))})"
 
 
-def _pack(max_len, n, merge=True, trim=False):
+def _pack(max_len, n, merge=True, trim=False, tail="keep"):
     def run(spark, folder):
         toks = tokenize.tokenize_samples(tokenize.with_markers(_conv(spark, folder)))
         toks = toks.withColumn("shard", F.lit("all"))
-        out = packing.pack(toks, ["shard"], ["conv_id", "turn"], "key", max_len, n, merge, trim)
+        out = packing.pack(toks, ["shard"], ["conv_id", "turn"], "key", max_len, n, merge, trim, tail=tail)
         span = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["example_id"].cast("string"), s["start"].cast("string"), s["len"].cast("string"))), " ")
-        return out.select("batch", F.size("input_ids").alias("n"), *[F.md5(joined(F.col(c)).cast("binary")).alias(c + "_md5") for c in (
+        lost = ["dropped"] if tail == "drop" else []
+        return out.select("batch", "part", *lost, F.size("input_ids").alias("n"), *[F.md5(joined(F.col(c)).cast("binary")).alias(c + "_md5") for c in (
             "input_ids", "labels", "example_ids", "position_ids")], span.alias("spans"))
 
     return run
@@ -298,10 +299,10 @@ def _pack(max_len, n, merge=True, trim=False):
 def _full_packs(spark, folder):
     toks = tokenize.tokenize_samples(tokenize.with_markers(_conv(spark, folder)))
     out = packing.pack(toks, [], ["conv_id", "turn"], "key", 4096, 20)
-    return tokenize.filter_length(out, 4096, "exact").select("batch", F.size("input_ids").alias("n"))
+    return tokenize.filter_length(out, 4096, "exact").select("batch", "part", F.size("input_ids").alias("n"))
 
 
-def _pack_sql(max_len, n, merge=True, trim=False):
+def _pack_sql(max_len, n, merge=True, trim=False, tail="keep"):
     toks = (
         f"SELECT batch, slot, ex, list_concat([256], {_ids_sql('text')}, [{_SEP}]) AS src, list_concat({_ids_sql('role')}, [{_EOC}]) AS tgt FROM "
         f"({_ISLAND.format(b=_BATCHED.format(n=n))})"
@@ -316,28 +317,34 @@ def _pack_sql(max_len, n, merge=True, trim=False):
         "SELECT batch, flatten(list(ids ORDER BY slot)) AS i, flatten(list(labs ORDER BY slot)) AS l, flatten(list(list_transform(ids, lambda x: ex) ORDER BY slot)) AS e, "
         f"flatten(list(range(p0, p0 + len(ids)) ORDER BY slot)) AS p FROM ({rows}) GROUP BY batch"
     )
-    rows = f"SELECT batch, i[1:{max_len}] AS i, l[1:{max_len}] AS l, e[1:{max_len}] AS e, p[1:{max_len}] AS p FROM ({rows})"
+    cut = ", ".join(f"{c}[part * {max_len} + 1:(part + 1) * {max_len}] AS {c}" for c in "ilep")
+    rows = (
+        f"SELECT batch, part, {cut}, greatest(len(i) - {max_len}, 0)::BIGINT AS dropped FROM "
+        f"(SELECT *, unnest(range(greatest(1, (len(i) + {max_len - 1}) // {max_len})))::INT AS part FROM ({rows}))"
+    )
+    lost = ", dropped" if tail == "drop" else ""
+    rows += " WHERE part = 0" if tail == "drop" else ""
     spans = (
         "array_to_string(list_transform(list_sort(list_distinct(e)), lambda k: k || ':' || (list_position(e, k) - 1) || ':' || len(list_filter(e, lambda y: y = k))), ' ')"
     )
     return (
-        f"SELECT batch, len(i)::INT AS n, md5(array_to_string(i, ',')) AS input_ids_md5, md5(array_to_string(l, ',')) AS labels_md5, "
+        f"SELECT batch, part{lost}, len(i)::INT AS n, md5(array_to_string(i, ',')) AS input_ids_md5, md5(array_to_string(l, ',')) AS labels_md5, "
         f"md5(array_to_string(e, ',')) AS example_ids_md5, md5(array_to_string(p, ',')) AS position_ids_md5, {spans} AS spans FROM ({rows})"
     )
 
 
-for _n, _a in {"pack": (4096, 20), "pack_unmerged_trimmed": (3000, 15, False, True)}.items():
+for _n, _a in {"pack": (4096, 20), "pack_unmerged_trimmed": (3000, 15, False, True, "drop")}.items():
     QUERIES[_n], SQL[_n] = _pack(*_a), _pack_sql(*_a)
 
 QUERIES["token_length_exact"] = _full_packs
-SQL["token_length_exact"] = f"SELECT batch, n FROM ({SQL['pack']}) WHERE n = 4096"
+SQL["token_length_exact"] = f"SELECT batch, part, n FROM ({SQL['pack']}) WHERE n = 4096"
 
 
 # --- few-shot --------------------------------------------------------------------------------
 
 def _few_shot(spark, folder):
     out = packing.few_shot(_tokens(spark, folder), ["lang"], ["doc_id"], ["key"], 3, 6000, True, 8)
-    return out.select("lang", "batch", "slot", "key", F.size("input_ids").alias("n"), F.md5(joined(F.col("input_ids")).cast("binary")).alias("ids_md5"),
+    return out.select("lang", "batch", "slot", "key", "n_cut", F.size("input_ids").alias("n"), F.md5(joined(F.col("input_ids")).cast("binary")).alias("ids_md5"),
                       F.md5(joined(F.col("labels")).cast("binary")).alias("labels_md5"))
 
 
@@ -354,9 +361,10 @@ QUERIES["few_shot"] = _few_shot
 SQL["few_shot"] = (
     f"WITH r AS ({_RUNS}), c AS (SELECT key, flatten(list(CASE WHEN o > 1 THEN ids[2:] ELSE ids END ORDER BY o)) AS ctx FROM ({_PAIRS}) GROUP BY key), "
     "f AS (SELECT r.lang, r.batch, r.slot, r.key, coalesce(ctx, []) AS ctx, CASE WHEN ctx IS NULL THEN r.ids ELSE r.ids[2:] END AS t, "
-    "list_concat(list_transform(CASE WHEN ctx IS NULL THEN src ELSE src[2:] END, lambda x: -100), tgt) AS tl FROM r LEFT JOIN c USING (key)) "
-    "SELECT lang, batch, slot, key, least(len(ctx) + len(t), 6000)::INT AS n, md5(array_to_string(list_concat(ctx, t)[1:6000], ',')) AS ids_md5, "
-    "md5(array_to_string(list_concat(list_transform(ctx, lambda x: -100), tl)[1:6000], ',')) AS labels_md5 FROM f"
+    "list_concat(list_transform(CASE WHEN ctx IS NULL THEN src ELSE src[2:] END, lambda x: -100), tgt) AS tl FROM r LEFT JOIN c USING (key)), "
+    "g AS (SELECT *, ctx[1:greatest(6000 - len(t), 0)] AS c, t[greatest(len(t) - 6000, 0) + 1:] AS tt, tl[greatest(len(t) - 6000, 0) + 1:] AS ttl FROM f) "
+    "SELECT lang, batch, slot, key, greatest(len(ctx) + len(t) - 6000, 0)::INT AS n_cut, (len(c) + len(tt))::INT AS n, md5(array_to_string(list_concat(c, tt), ',')) AS ids_md5, "
+    "md5(array_to_string(list_concat(list_transform(c, lambda x: -100), ttl), ',')) AS labels_md5 FROM g"
 )
 
 

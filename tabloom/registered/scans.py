@@ -27,6 +27,32 @@ QUERIES["tar_round_trip"] = _tar
 SQL["tar_round_trip"] = "SELECT lang || '__' || doc_id AS key, md5(text) AS text_md5, lang AS class_label_as_text, source AS filename FROM documents"
 
 
+def _tar_corrupt(spark, folder):
+    """One shard of four loses a header in its middle: its problem is told, once, whatever the splits."""
+    from tabloom.sources.files import filesystem, listing
+
+    df = load(spark, folder, "documents")
+    path = scratch_path(spark, "tar")
+    body = F.to_json(F.struct("text", F.col("lang").alias("class_label_as_text"), F.col("source").alias("filename")))
+    tar.write_tar(df.select(F.concat_ws("__", "lang", "doc_id").alias("key"), body.alias("json")).repartition(4, "key"), path, "docs")
+    shard = sorted(p for p, _ in listing(path, ".tar"))[0]
+    fs, _ = filesystem(path)
+    with fs.open_input_file(shard) as f:
+        raw = bytearray(f.read())
+    # The first header behind the middle of the shard: headers say so at byte 257.
+    at = next(i for i in range(len(raw) // 2 // 512 * 512, len(raw), 512) if raw[i + 257 : i + 262] == b"ustar")
+    raw[at : at + 512] = b"x" * 512
+    with fs.open_output_stream(shard) as f:
+        f.write(bytes(raw))
+    rows = tar.read_tar(spark, path, split_bytes=64 * 1024)
+    return rows.where("problem is not null").groupBy(F.lit(1).alias("one")).agg(
+        F.count(F.lit(1)).alias("problems"), F.count_distinct("shard").alias("shards")).drop("one")
+
+
+QUERIES["tar_corrupt_reported"] = _tar_corrupt
+SQL["tar_corrupt_reported"] = "SELECT count(DISTINCT 1) AS problems, count(DISTINCT 1) AS shards FROM documents"
+
+
 def _arff(spark, folder):
     df = load(spark, folder, "part")
     path = scratch_path(spark, "arff")
@@ -262,11 +288,12 @@ def _training(spark, folder):
     c = load(spark, folder, "conversations")
     s = c.select(F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("__"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("key"), "text", F.col("role").alias("class_label_as_text"))
     out = training.assemble(s, DataConfig(pack_batch=25, max_len=4096))
-    return out.select("batch", F.size("input_ids").alias("n"))
+    return out.select("batch", "part", F.size("input_ids").alias("n"))
 
 
 QUERIES["training_sequences"] = _training
 SQL["training_sequences"] = (
-    "SELECT batch, least(sum(strlen(text) + strlen(role) + 3), 4096)::INT AS n FROM (SELECT text, role, (row_number() OVER (ORDER BY lpad(conv_id::VARCHAR, 8, '0'), turn) - 1) // 25 AS batch "
-    "FROM conversations) GROUP BY batch"
+    "SELECT batch, part, least(total - part * 4096, 4096)::INT AS n FROM (SELECT *, unnest(range((total + 4095) // 4096))::INT AS part FROM ("
+    "SELECT batch, sum(strlen(text) + strlen(role) + 3)::BIGINT AS total FROM (SELECT text, role, (row_number() OVER (ORDER BY lpad(conv_id::VARCHAR, 8, '0'), turn) - 1) // 25 AS batch "
+    "FROM conversations) GROUP BY batch))"
 )

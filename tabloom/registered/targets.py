@@ -269,6 +269,21 @@ QUERIES["choices_small"] = _choices("orders", ["o_orderstatus"], "o_orderpriorit
 SQL["choices_small"] = _choices_sql("orders", ["o_orderstatus"], "o_orderpriority", "o_orderkey")
 QUERIES["choices_sampled"] = _choices("part", ["p_type"], "p_brand", "p_partkey")
 SQL["choices_sampled"] = _choices_sql("part", ["p_type"], "p_brand", "p_partkey")
+
+
+def _choices_null_group(spark, folder):
+    """Orders whose status is unknown are a group of their own."""
+    status = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status")
+    df = load(spark, folder, "orders").select("o_orderkey", status, "o_orderpriority")
+    return target.with_choices(df, ["status"], "o_orderpriority", ["o_orderkey"], seed=2).select("o_orderkey", F.array_join("choices", "|").alias("choices"))
+
+
+QUERIES["choices_null_group"] = _choices_null_group
+SQL["choices_null_group"] = (
+    "WITH o AS (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, o_orderpriority AS p FROM orders), "
+    "d AS (SELECT status, string_agg(DISTINCT p, '|' ORDER BY p) AS choices FROM o GROUP BY status) "
+    "SELECT o_orderkey, choices FROM o JOIN d ON o.status IS NOT DISTINCT FROM d.status"
+)
 # Every customer name is different, so this takes the lookup by position.
 QUERIES["choices_large"] = _choices("customer", [], "c_name", "c_custkey", inline=100)
 SQL["choices_large"] = _choices_sql("customer", [], "c_name", "c_custkey")

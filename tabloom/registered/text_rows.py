@@ -120,6 +120,25 @@ QUERIES["serialize_html_compact"] = _sample("customer", "c_custkey", "c_mktsegme
 SQL["serialize_html_compact"] = _html_sql("", "")
 
 
+def _html_wide(spark, folder):
+    """Rows of more than a hundred columns: the components of a vector, twice."""
+    df = load(spark, folder, "embeddings")
+    cols = [F.round(F.get("embedding", F.lit(i % 64)) * 1000).cast("int").alias(f"e{i}") for i in range(128)]
+    feats = serialize.features_of(df.select("vec_id", *cols), [f"e{i}" for i in range(128)])
+    html = serialize.serialize(feats, SerializerConfig(style="html_compact"))
+    return df.select("vec_id", *cols).select("vec_id", html.alias("text"))
+
+
+QUERIES["serialize_html_wide"] = _html_wide
+_cell = " || ', ' || ".join(
+    f"{q(f'&#x27;e{i}&#x27;: {{&#x27;value&#x27;: ')} || round(embedding[{i % 64 + 1}]::DOUBLE * 1000)::INT || '}}'" for i in range(128)
+).replace("&#x27;", "''")
+SQL["serialize_html_wide"] = (
+    "SELECT vec_id, '<table border=\"1\" class=\"dataframe\"><thead><tr style=\"text-align: right;\"><th></th><th>0</th></tr></thead><tbody><tr><th>features</th><td>{' || "
+    f"{_cell} || '}}</td></tr></tbody></table>' AS text FROM embeddings"
+)
+
+
 # --- arrays, missing values, precision -------------------------------------------------------
 
 def _serialize_arrays(spark, folder):

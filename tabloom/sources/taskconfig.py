@@ -91,8 +91,8 @@ def synthetic_config() -> TaskConfig:
     """Configuration of the toy tables: class numbers, also when written as floats."""
     mapping = {str(float(x)): str(x) for x in range(10)} | {str(x): str(x) for x in range(10)}
     return TaskConfig(
-        "Predict the class label from the values of the features.", "What is the class label?",
-        "This is an artificial dataset.", mapping,
+        "Tell from the coordinates of a point which group it was drawn from.", "Which group is it?",
+        "Points in the plane, drawn around a few centres.", mapping,
     )
 
 

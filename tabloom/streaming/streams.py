@@ -19,9 +19,9 @@ from tabloom.session import scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None,
-                recursive: bool = False) -> DataFrame:
-    """Parquet files of a folder as a stream; ``ignoreCorruptFiles`` skips broken ones."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True)
+                recursive: bool = False, skip_corrupt: bool = False) -> DataFrame:
+    """Parquet files of a folder as a stream. A broken file ends the stream unless it may be skipped."""
+    r = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("ignoreCorruptFiles", skip_corrupt)
     if recursive:
         r = r.option("recursiveFileLookup", True)
     if files_per_batch:

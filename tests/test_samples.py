@@ -7,8 +7,8 @@ from tabloom.functions import tokens as K
 from tabloom.operators import packing, sampling, shards, tokenize
 
 
-def brute_pack(rows, max_len, size, merge, trim):
-    """rows: (key, ids, labels) in order."""
+def brute_pack(rows, max_len, size, merge, trim, tail):
+    """rows: (key, ids, labels) in order; gives (batch, part, four lists)."""
     out = []
     for b in range(0, len(rows), size):
         ids, labs, ex, ps = [], [], [], []
@@ -25,7 +25,8 @@ def brute_pack(rows, max_len, size, merge, trim):
             ex += [cur] * len(x)
             ps += list(range(pos, pos + len(x)))
             pos += len(x)
-        out.append((ids[:max_len], labs[:max_len], ex[:max_len], ps[:max_len]))
+        for at in range(0, len(ids) if tail == "keep" else 1, max_len):
+            out.append((b // size, at // max_len, *[x[at:at + max_len] for x in (ids, labs, ex, ps)]))
     return out
 
 
@@ -49,15 +50,16 @@ def toks(spark, rows):
 
 @pytest.mark.parametrize("merge", [True, False])
 @pytest.mark.parametrize("trim", [True, False])
-@pytest.mark.parametrize("max_len", [60, 10_000])
-def test_pack_matches_plain_python(spark, toks, rows, merge, trim, max_len):
-    got = packing.pack(toks, [], ["i"], "key", max_len, 9, merge, trim).orderBy("batch").collect()
-    want = brute_pack([r[1:] for r in rows], max_len, 9, merge, trim)
+@pytest.mark.parametrize("max_len", [60, 7, 10_000])
+@pytest.mark.parametrize("tail", ["keep", "drop"])
+def test_pack_matches_plain_python(spark, toks, rows, merge, trim, max_len, tail):
+    got = packing.pack(toks, [], ["i"], "key", max_len, 9, merge, trim, tail=tail).orderBy("batch", "part").collect()
+    want = brute_pack([r[1:] for r in rows], max_len, 9, merge, trim, tail)
     assert len(got) == len(want)
     for g, w in zip(got, want):
-        assert (g["input_ids"], g["labels"], g["example_ids"], g["position_ids"]) == tuple(w)
+        assert (g["batch"], g["part"], g["input_ids"], g["labels"], g["example_ids"], g["position_ids"]) == tuple(w)
         flat = [s["example_id"] for s in g["spans"] for _ in range(s["len"])]
-        assert flat == w[2] and [s["example_id"] for s in g["spans"]] == sorted({*w[2]})
+        assert flat == w[4] and [s["example_id"] for s in g["spans"]] == sorted({*w[4]})
 
 
 def test_attention_blocks(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabloom.config import SerializerConfig
 from tabloom.operators import serialize as S
 
-CTX, PRE, SUF = "This is the task context.", "This is an observation.", "What is the label?"
+CTX, PRE, SUF = "Houses of a small town.", "One house follows.", "Is it heated with gas?"
 
 
 def row(spark, schema, *vals):
@@ -22,17 +22,17 @@ def one(df, **kw):
 
 @pytest.fixture(scope="module")
 def plain(spark):
-    return row(spark, "float_feature double, int_feature int, str_feature string", -768.25, -25, "my_category")
+    return row(spark, "height double, floors int, roof string", 9.125, 3, "red tiles")
 
 
 def test_basic(plain):
-    kv = "The float_feature is -768.25. The int_feature is -25. The str_feature is my_category."
+    kv = "The height is 9.125. The floors is 3. The roof is red tiles."
     assert one(plain) == kv
-    args = dict(prefix=PRE, suffix=SUF, choices=["1", "0"], context=CTX)
-    assert one(plain, **args) == f"{CTX} {PRE} 1 or 0 {kv} {SUF} 1 or 0"
-    assert one(plain, style="basic_v2", **args) == f"{CTX} {PRE} ||1||0|| {kv} {SUF} ||1||0||"
-    assert one(plain, style="basic_v2", pos="front", **args) == f"{CTX} {PRE} ||1||0|| {kv} {SUF}"
-    assert one(plain, style="basic_v2", pos="back", **args) == f"{CTX} {PRE} {kv} {SUF} ||1||0||"
+    args = dict(prefix=PRE, suffix=SUF, choices=["yes", "no"], context=CTX)
+    assert one(plain, **args) == f"{CTX} {PRE} yes or no {kv} {SUF} yes or no"
+    assert one(plain, style="basic_v2", **args) == f"{CTX} {PRE} ||yes||no|| {kv} {SUF} ||yes||no||"
+    assert one(plain, style="basic_v2", pos="front", **args) == f"{CTX} {PRE} ||yes||no|| {kv} {SUF}"
+    assert one(plain, style="basic_v2", pos="back", **args) == f"{CTX} {PRE} {kv} {SUF} ||yes||no||"
 
 
 def test_strict(spark, plain):
@@ -48,72 +48,71 @@ def test_values_are_trimmed(spark):
     assert one(df) == "The a is x. The b is y.. The c is True. The d is nan. The e is ['p', 'None']."
 
 
-META_SCHEMA = ("float_feature double, int_feature int, zero_feature int, str_feature string, bool_feature boolean, "
-               "float_feature__quantile double, int_feature__quantile double, zero_feature__quantile double, "
-               "float_feature__scale double, int_feature__scale double, zero_feature__scale double")
+META_SCHEMA = ("height double, floors int, roof string, lift boolean, height__quantile double, floors__quantile double, "
+               "height__scale double, floors__scale double")
 
 
 def test_basic_meta(spark):
-    df = row(spark, META_SCHEMA, -768.25, -25, 0, "my_category", True, 0.29, 0.99, 0.1, -0.2, 1.24, 0.0)
+    df = row(spark, META_SCHEMA, 9.125, 3, "red tiles", True, 0.75, 0.5, 1.5, -0.125)
     assert one(df, meta=True) == (
-        "The float_feature is -768.25 (quantile:0.29, scale:-0.2). The int_feature is -25 (quantile:0.99, "
-        "scale:1.24). The zero_feature is 0 (quantile:0.1, scale:0.0). The str_feature is my_category. "
-        "The bool_feature is True."
+        "The height is 9.125 (quantile:0.75, scale:1.5). The floors is 3 (quantile:0.5, scale:-0.125). "
+        "The roof is red tiles. The lift is True."
     )
 
 
 def test_structured(spark):
-    df = row(spark, "float_feature double, int_feature int, str_feature string", -99.5, -1, "my_category")
-    got = one(df, style="structured", prefix=PRE, suffix=SUF, choices=["1", "0"], context=CTX)
+    df = row(spark, "height double, floors int, roof string", 7.5, 2, "slate")
+    got = one(df, style="structured", prefix=PRE, suffix=SUF, choices=["yes", "no"], context=CTX)
     body = "".join(f"<|KEY|>{k}<|/KEY|><|VALUE|>{v}<|/VALUE|>" for k, v in
-                   (("float_feature", "-99.5"), ("int_feature", "-1"), ("str_feature", "my_category")))
-    ch = "<|CHOICES|>1||0<|/CHOICES|>"
+                   (("height", "7.5"), ("floors", "2"), ("roof", "slate")))
+    ch = "<|CHOICES|>yes||no<|/CHOICES|>"
     assert got == f"{CTX}<|PREFIX|>{PRE}<|/PREFIX|>{ch}<|EXAMPLE|>{body}<|/EXAMPLE|><|SUFFIX|>{SUF}<|/SUFFIX|>{ch}"
 
 
-DICT_SCHEMA = "float_feature double, bool_feature boolean, int_feature int, str_feature string"
+DICT_SCHEMA = "slope double, lift boolean, built int, roof string"
 
 
 def test_json(spark):
-    df = row(spark, DICT_SCHEMA, -4e-3, True, 5968, "my_category")
-    got = one(df, style="json", prefix=PRE, suffix=SUF, choices=["2", "1", "0"], context=CTX)
+    df = row(spark, DICT_SCHEMA, 0.0625, True, 1911, "slate")
+    got = one(df, style="json", prefix=PRE, suffix=SUF, choices=["gas", "oil", "wood"], context=CTX)
     want = {"task_context": CTX, "prefix": PRE,
             "features": {k: {"value": v} for k, v in df.first().asDict().items()},
-            "suffix": SUF, "choices": ["2", "1", "0"]}
+            "suffix": SUF, "choices": ["gas", "oil", "wood"]}
     assert got == json.dumps(want)
     odd = row(spark, "s string, d double", 'q"\\é\n\U0001f600\x7f', 1e-6)
     assert one(odd, style="json") == json.dumps({"features": {"s": {"value": odd.first()[0]}, "d": {"value": 1e-6}}})
     back = df.select(S.deserialize_json(F.lit(got)).alias("m")).first()["m"]
-    assert back["int_feature"]["value"] == "5968" and back["bool_feature"]["value"] == "true"
+    assert back["built"]["value"] == "1911" and back["lift"]["value"] == "true"
 
 
 def test_pandas_style(spark):
-    df = row(spark, DICT_SCHEMA, -4e-3, True, 5968, "it's")
-    want = {"task_context": CTX, "features": {k: {"value": v} for k, v in df.first().asDict().items()}, "choices": "2 or 1"}
-    assert one(df, style="pandas", choices=["2", "1"], context=CTX) == f"pd.Series({want})"
+    df = row(spark, DICT_SCHEMA, 0.0625, True, 1911, "owner's")
+    want = {"task_context": CTX, "features": {k: {"value": v} for k, v in df.first().asDict().items()}, "choices": "gas or oil"}
+    assert one(df, style="pandas", choices=["gas", "oil"], context=CTX) == f"pd.Series({want})"
 
 
 def test_html(spark):
     import pandas as pd
 
-    df = row(spark, DICT_SCHEMA, -1e-6, False, 5968, "a <b> & 'c'")
+    df = row(spark, DICT_SCHEMA, 2e-7, False, 1911, "tiles <new> & 'old'")
     want = {"task_context": CTX, "prefix": PRE, "features": {k: {"value": v} for k, v in df.first().asDict().items()},
-            "suffix": SUF, "choices": "2 or 1 or 0"}
+            "suffix": SUF, "choices": "gas or oil or wood"}
     html = pd.Series(want).to_frame().to_html()
-    args = dict(prefix=PRE, suffix=SUF, choices=["2", "1", "0"], context=CTX)
+    args = dict(prefix=PRE, suffix=SUF, choices=["gas", "oil", "wood"], context=CTX)
     assert one(df, style="html", **args) == html
     import re
 
     assert one(df, style="html_compact", **args) == re.sub(r">\s+<", "><", html)
     wide = row(spark, ", ".join(f"c{i} int" for i in range(120)), *range(120))
-    want = pd.Series({"features": {f"c{i}": {"value": i} for i in range(120)}}).to_frame().to_html()
+    with pd.option_context("display.max_seq_items", None):
+        want = pd.Series({"features": {f"c{i}": {"value": i} for i in range(120)}}).to_frame().to_html()
     assert one(wide, style="html") == want
 
 
 def test_round_trip(spark):
-    df = row(spark, "float_feature double, int_feature int, str_feature string", -7168.25, 5968, "my_category")
+    df = row(spark, "height double, floors int, roof string", 11.25, 4, "thatch")
     names = df.columns
-    want = {"float_feature": "-7168.25", "int_feature": "5968", "str_feature": "my_category"}
+    want = {"height": "11.25", "floors": "4", "roof": "thatch"}
     t = one(df)
     assert df.select(S.deserialize_basic(F.lit(t), names)).first()[0] == want
     assert df.select(F.map_keys(S.deserialize_basic(F.lit(t), names[::-1]))).first()[0] == names
@@ -140,6 +139,6 @@ def test_shuffle_and_dropout(spark):
 def test_default_style_runs_no_python(spark, plain):
     feats = S.features_of(plain)
     df = plain.select(S.serialize(feats, SerializerConfig(feature_dropout=0.1, shuffle_features=True),
-                                  prefix=PRE, suffix=SUF, choices=["a", "b"], row_key=F.col("int_feature")))
+                                  prefix=PRE, suffix=SUF, choices=["a", "b"], row_key=F.col("floors")))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "UDF" not in plan
