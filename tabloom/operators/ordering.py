@@ -20,7 +20,7 @@ from tabloom.functions import hashing
 from tabloom.session import conf_int, cut_lineage
 
 # Rows of one group that one task may sort; beyond that a group is cut into chunks.
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 100_000
 # Rows of a lookup that may be broadcast, after counting it.
 MAX_BROADCAST_ROWS = 500_000
 

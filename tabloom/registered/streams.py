@@ -61,7 +61,7 @@ def _count_off(spark, folder):
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         s = _stream(spark, folder, "events").select("event_id", "event_type")
-        out = streams.write_available(streams.count_off(s, "event_type", "event_id", 150, 2))
+        out = streams.write_available(streams.count_off(s, "event_type", "event_id", 150, lanes=2))
     finally:
         spark.conf.set(provider, before)
     return out.groupBy("event_type", "lane", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last_slot"))

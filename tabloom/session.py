@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,23 @@ def build_session(app: str = "tabloom", master: str | None = None, **conf) -> Sp
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a session whose Python does not have it installed.
+
+    Python tasks import their functions by name, so without it they fail wherever the package is
+    neither installed nor on ``PYTHONPATH``.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tabloom-ship-"), "tabloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("tabloom", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

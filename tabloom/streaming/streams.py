@@ -115,7 +115,7 @@ class _CountOff(StatefulProcessor):
         pass
 
 
-def count_off(stream: DataFrame, shard: str, key: str, size: int = 150, lanes: int = 1) -> DataFrame:
+def count_off(stream: DataFrame, shard: str, key: str, size: int = 150, *, lanes: int) -> DataFrame:
     """Adds ``lane``, ``batch`` and ``slot``: runs of ``size`` samples in order of arrival.
 
     Samples pass straight through; only the count is kept, so a last, shorter run needs no flush.

@@ -177,7 +177,7 @@ def test_count_off_across_batches(spark, tmp_path):
     folder = str(tmp_path / "n")
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("s"))
     df.repartition(4).write.parquet(folder)
-    got = streams.write_available(streams.count_off(streams.read_stream(spark, folder, df.schema, files_per_batch=1), "s", "id", 50, 3))
+    got = streams.write_available(streams.count_off(streams.read_stream(spark, folder, df.schema, files_per_batch=1), "s", "id", 50, lanes=3))
     groups = got.groupBy("s", "lane", "batch").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d")).collect()
     assert got.count() == 1000 and all(r["n"] == r["d"] <= 50 for r in groups)
     for key in {(r["s"], r["lane"]) for r in groups}:
