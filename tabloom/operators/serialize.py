@@ -343,8 +343,14 @@ def record_texts(features: Column, config: SerializerConfig, row_key: Column, se
         features = F.array_sort(ranked)["f"]
     (k0, k1), (v0, v1) = STRUCTURE["key"], STRUCTURE["value"]
 
+    def valued(f):
+        if config.max_precision is None:
+            return f["value"]
+        rounded = text.py_float(text.py_round(f["number"], config.max_precision))
+        return F.when(f["kind"] == "float", rounded).otherwise(f["value"])
+
     def sentence(f):
-        value = F.when(f["kind"].isin("text", "bytes"), text.tidy(f["value"])).otherwise(f["value"])
+        value = F.when(f["kind"].isin("text", "bytes"), text.tidy(f["value"])).otherwise(valued(f))
         return F.concat(F.lit("The "), f["name"], F.lit(" is "), value, F.lit("."))
 
     def marked(f):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text_rows", "targets", "samples", "scoring", "metadata", "scans", "streams", "models")
+AREAS = ("text_rows", "targets", "samples", "scoring", "metadata", "scans", "streams", "models", "wiring")
 
 
 def _merge(attribute: str) -> dict:

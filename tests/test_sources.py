@@ -92,8 +92,8 @@ def test_toy_tables(spark, name):
         assert {x["y"]: round(x["avg(r)"], 1) for x in r} == {0: 1.0, 1: 0.5}
 
 
-@pytest.mark.parametrize("style", ["basic_v2", "structured"])
-def test_records_give_the_same_samples_as_columns(spark, tmp_path, style):
+@pytest.mark.parametrize(("style", "precision"), [("basic_v2", None), ("structured", None), ("basic_v2", 2), ("structured", 3)])
+def test_records_give_the_same_samples_as_columns(spark, tmp_path, style, precision):
     """Every kind of column, missing values, two schemas, several row groups."""
     from tabloom.sources import records
 
@@ -102,11 +102,12 @@ def test_records_give_the_same_samples_as_columns(spark, tmp_path, style):
         F.when(F.col("id") % 7 > 0, F.concat(F.lit(" s"), (F.col("id") % 5).cast("string"), F.lit(". "))).alias("s"),
         (F.col("id") % 3).cast("int").alias("k"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id,id % 2 * 0.5)").alias("t"),
         F.expr("cast(date'2024-01-01' + cast(id % 4 as int) as date)").alias("d"), F.array(F.col("id").cast("double"), F.lit(None)).alias("a"),
-        F.encode(F.lit("é"), "ISO-8859-1").alias("raw"), F.expr("cast(id % 4 * 0.25 as decimal(5,2))").alias("dec"))
+        F.encode(F.lit("é"), "ISO-8859-1").alias("raw"), F.expr("cast(id % 4 * 0.25 as decimal(5,2))").alias("dec"),
+        F.expr("named_struct('p', if(id % 3 = 0, null, id), 'q', 'é')").alias("st"), F.expr("map('k', id, 'l', cast(null as bigint))").alias("m"))
     src = str(tmp_path / "in")
     base.coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{src}/a")
     base.select("f", "k", "s").coalesce(1).write.parquet(f"{src}/b")
-    cfg = SerializerConfig(style=style, shuffle_features=True, feature_dropout=0.2)
+    cfg = SerializerConfig(style=style, shuffle_features=True, feature_dropout=0.2, max_precision=precision)
     got = {}
     for name, size in (("columns", "0"), ("records", str(2**40))):
         spark.conf.set("spark.tabloom.schemaGroupBytes", size)
