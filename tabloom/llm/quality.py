@@ -111,6 +111,7 @@ def measures(text: Column) -> dict[str, Column]:
     return {
         "counted": _let(words(t), by_words),
         "word_chars": F.length(bare).cast("long"),
+        "latin": F.octet_length(t) <= F.length(t) * 1.2,
         "n_symbols": (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long"),
         "by_line": _let(
             lines,
@@ -128,8 +129,8 @@ def _ratios(c: dict[str, Column]) -> dict[str, Column]:
         "mean_word_length": share(c["word_chars"], c["n_words"]),
         "symbols_per_word": share(c["n_symbols"], c["n_words"]),
         "dup_line_share": F.when(c["n_lines"] >= 4, share(c["n_dup_lines"], c["n_lines"])).otherwise(0.0),
-        # A text of many words without any stop word is a list or noise, in the languages listed.
-        "stop_words_short": F.when((c["n_words"] >= 200) & (c["n_stop_words"] == 0), 1).otherwise(0),
+        # A text of many words in Latin letters without any stop word is a list or noise.
+        "stop_words_short": F.when(c["latin"] & (c["n_words"] >= 200) & (c["n_stop_words"] == 0), 1).otherwise(0),
     }
 
 
@@ -155,7 +156,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     at = F.col(raw)
     c = {k: at["counted"][k] for k in ("n_words", "n_repeat_words", "n_stop_words")}
     c |= {k: at["by_line"][k] for k in ("n_lines", "n_dup_lines")}
-    c |= {k: at[k] for k in ("word_chars", "n_symbols")}
+    c |= {k: at[k] for k in ("word_chars", "n_symbols", "latin")}
     ratios = _ratios(c)
     failed = [(r, _fails(r, ratios)) for r in rules]
     either = lambda some: F.coalesce(F.array_max(F.array(F.lit(False), *some)), F.lit(False))

@@ -89,12 +89,12 @@ twice AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid
 covered AS (SELECT rid, count(DISTINCT pos + o) AS n FROM twice, (SELECT unnest(range(5)) AS o) GROUP BY rid),
 c AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-  coalesce(covered.n, 0) AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS n_stop
+  coalesce(covered.n, 0) AS n_repeat_words, strlen(t) <= length(t) * 1.2 AS latin, len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS n_stop
   FROM split LEFT JOIN covered USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars / n_words > 40 OR n_symbols / n_words > 0.3
-    OR (n_lines >= 4 AND n_dup_lines / n_lines > 0.5) OR (n_words >= 200 AND n_stop = 0)) AS kept
+    OR (n_lines >= 4 AND n_dup_lines / n_lines > 0.5) OR (latin AND n_words >= 200 AND n_stop = 0)) AS kept
 FROM c
 """
 
