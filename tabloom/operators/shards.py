@@ -9,12 +9,13 @@ from tabloom.operators.ordering import position
 
 
 def sample_key(table: Column, row: Column) -> Column:
-    """``<table>__<row>``: samples of one table share the part before the first double underscore."""
+    """``<table>__<row>``: samples of one table share the part before the last double underscore."""
     return F.concat(table, F.lit("__"), row.cast("string"))
 
 
 def table_of_key(key: Column) -> Column:
-    return F.substring_index(key, "__", 1)
+    row = F.length(F.substring_index(key, "__", -1))
+    return F.when(F.contains(key, F.lit("__")), F.substring(key, F.lit(1), F.length(key) - row - 2)).otherwise(key)
 
 
 def shard_by_size(df: DataFrame, order: list, size: str, target_bytes: int, group: list[str] | None = None) -> DataFrame:

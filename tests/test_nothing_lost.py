@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import baselines, pages, packing, profile, target, tokenize
+from tabloom.operators.shards import table_of_key
 from tabloom.sources import tables
 
 
@@ -59,3 +60,8 @@ def test_boosting_of_three_classes(spark):
     df = spark.createDataFrame(rows, "a double, b double, y int")
     _, m = baselines.train_and_score(df, df, ["a", "b"], "y", "boosted_trees", n_trials=1)
     assert m["acc"] > 0.9 and m["n_train"] == 60
+
+
+def test_double_underscores_in_a_path_keep_tables_apart(spark):
+    df = spark.createDataFrame([("lake__a/x.parquet__0",), ("lake__a/y.parquet__7",), ("plain",)], "key string")
+    assert [r[0] for r in df.select(table_of_key(F.col("key"))).collect()] == ["lake__a/x.parquet", "lake__a/y.parquet", "plain"]
