@@ -46,9 +46,9 @@ def split_rows(
     tables, ``frac`` of the rows move (exact count per table, or by threshold for streams)."""
     chosen = hashing.chance(float(Fraction(frac)), seed, "chunk", chunk)
     if exact:
-        out = split_by_rank(df.withColumn("__chosen", chosen), row_keys, frac, seed, [table], "traineval", "train")
-        label = F.when(F.col("__chosen"), F.col("split")).otherwise(F.lit("train"))
-        return out.withColumn("split", label).drop("__chosen")
+        # Rows of the other chunks are read once more instead of being ranked and shuffled.
+        moved = split_by_rank(df.where(chosen), row_keys, frac, seed, [table], "traineval", "train")
+        return df.where(~chosen).withColumn("split", F.lit("train")).unionByName(moved)
     low = hashing.chance(float(Fraction(frac)), seed, *[F.col(k) for k in [table, *row_keys]])
     return df.withColumn("split", F.when(chosen & low, F.lit("traineval")).otherwise(F.lit("train")))
 
