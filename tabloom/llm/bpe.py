@@ -26,9 +26,10 @@ from tabloom.llm.common import map_batches, type_of
 
 CHUNK = 1 << 16  # code points a chunk owns
 OVERLAP = 1 << 10  # code points it reads beyond
-CACHED = 100_000  # stretches and pre-tokens whose ids a task remembers, each
+CACHED = 150_000  # stretches used lately whose ids a task remembers; as many older ones
 CACHED_LENGTH = 64  # longer ones are not remembered
-SHORT = 64  # bytes of a pre-token up to which merging looks at all pairs
+BLOCK_CHARS = 1 << 21  # characters of texts that are looked up together
+WIDTHS = (8, 16, 32, 64)  # bytes of pre-tokens that are merged side by side; longer ones go one by one
 
 # Unicode's white space. No pre-token goes on from another character into it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,17 +38,32 @@ STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 @dataclass(frozen=True)
 class Ranks:
-    """Pieces by rank (the ids), and the pattern that cuts texts."""
+    """Pieces by rank (the ids), the pattern that cuts texts, and which two ids merge into which."""
 
     ranks: dict[bytes, int]
     pattern: str
+    pairs: np.ndarray  # sorted: left id << 32 | right id
+    merged: np.ndarray  # the id that each pair makes, which is also its rank
+
+
+def vocabulary(ranks: dict[bytes, int], pattern: str) -> Ranks:
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("every single byte must be a piece")
+    found = sorted(
+        (ranks[piece[:k]] << 32 | ranks[piece[k:]], rank)
+        for piece, rank in ranks.items()
+        for k in range(1, len(piece))
+        if piece[:k] in ranks and piece[k:] in ranks
+    )
+    both = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return Ranks(ranks, pattern, both[:, 0].copy(), both[:, 1].copy())
 
 
 def read_ranks(path: str, pattern: str) -> Ranks:
     """A rank file: a base64 piece and its rank on every line."""
     with open(path, "rb") as f:
         rows = [line.split() for line in f if line.strip()]
-    return Ranks({base64.b64decode(piece): int(rank) for piece, rank in rows}, pattern)
+    return vocabulary({base64.b64decode(piece): int(rank) for piece, rank in rows}, pattern)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -55,8 +71,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    if len(piece) <= SHORT:
-        return _merge_short(piece, ranks)
     # Parts are a linked list by their first byte; a heap names the next pair. Entries that no
     # longer describe two living neighbours are skipped.
     n = len(piece)
@@ -91,67 +105,128 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for a few bytes, where looking at all pairs again is the cheapest."""
-    rank, none = ranks.get, len(ranks) + 1
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    while pairs and (low := min(pairs)) < none:
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
-    return [ranks[p] for p in parts]
+def merge_many(pieces: list[bytes], vocab: Ranks, width: int) -> list[tuple[int, ...]]:
+    """The same for many pre-tokens of at most ``width`` bytes, one merge of each at a time."""
+    none = np.iinfo(np.int64).max
+    n = len(pieces)
+    length = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
+    raw = np.frombuffer(b"".join(p.ljust(width + 2, b"\0") for p in pieces), dtype=np.uint8).reshape(n, width + 2)
+    byte_ids = np.array([vocab.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+    ids = np.where(np.arange(width + 2) < length[:, None], byte_ids[raw], -1)
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(vocab.pairs, key), len(vocab.pairs) - 1)
+        return np.where((left >= 0) & (right >= 0) & (vocab.pairs[at] == key), vocab.merged[at], none)
+
+    low = rank(ids[:, :-1], ids[:, 1:])
+    done: list = [None] * n
+    who = np.arange(n)
+    while len(who):
+        at = low.argmin(1)
+        best = low[np.arange(len(who)), at]
+        over = best == none
+        left = ids[over]
+        flat, ends = left[left >= 0].tolist(), np.cumsum((left >= 0).sum(1)).tolist()
+        for k, a, b in zip(who[over].tolist(), [0, *ends], ends, strict=False):
+            done[k] = tuple(flat[a:b])
+        ids, low, who, at, best = (x[~over] for x in (ids, low, who, at, best))
+        rows = np.arange(len(who))
+        ids[rows, at] = best
+        # What is right of the pair moves one place to the left.
+        move = np.minimum(np.arange(width + 2) + (np.arange(width + 2) > at[:, None]), width + 1)
+        ids = np.take_along_axis(ids, move, 1)
+        ids[:, -1] = -1
+        low = np.take_along_axis(low, np.minimum(move[:, :-1], width), 1)
+        low[rows, at] = rank(ids[rows, at], ids[rows, at + 1])
+        left = np.maximum(at - 1, 0)
+        low[rows, left] = np.where(at > 0, rank(ids[rows, left], ids[rows, left + 1]), low[rows, left])
+    return done
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers the ids of a bounded number of pre-tokens."""
+    """Encodes and decodes texts; remembers the ids of the stretches that it met lately."""
 
     def __init__(self, vocab: Ranks):
         import regex
 
-        self.ranks = vocab.ranks
+        self.vocab = vocab
         self.cut = regex.compile(vocab.pattern)
         self.bytes_of = {rank: piece for piece, rank in vocab.ranks.items()}
-        self.tokens: dict[str, list[int]] = {}
-        self.stretches: dict[str, list[int]] = {}
+        # Ids by stretch, in two generations: when the newer is full, the older goes. Tuples of
+        # numbers cost the garbage collector nothing.
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def starts(self, text: str) -> list[int]:
         """Where pre-tokens start."""
         return [m.start() for m in self.cut.finditer(text)]
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text. It is looked up by stretches that no pre-token can cross, then by pre-tokens."""
-        known, ids = self.stretches.get, []
-        for part in STRETCH.findall(text):
-            found = known(part)
-            if found is None:
-                found = [i for token in self.cut.findall(part) for i in self._token(token)]
-                _remember(self.stretches, part, found)
-            ids += found
-        return ids
-
-    def _token(self, token: str) -> list[int]:
-        found = self.tokens.get(token)
-        if found is None:
-            found = merge(token.encode(), self.ranks)
-            _remember(self.tokens, token, found)
-        return found
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text: those of its stretches, which no pre-token crosses, in a row."""
+        out: list[list[int]] = []
+        first = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= BLOCK_CHARS or i + 1 == len(texts):
+                out += self._block(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _block(self, texts: list[str]) -> list[list[int]]:
+        parts = [STRETCH.findall(t) for t in texts]
+        known = self.new
+        unknown = []
+        for part in set().union(*parts):
+            if part not in known:
+                found = self.old.get(part)
+                if found is None:
+                    unknown.append(part)
+                else:
+                    known[part] = found
+        tokens = [self.cut.findall(part) for part in unknown]
+        made = self._merge_all(set().union(*tokens))
+        for part, some in zip(unknown, tokens, strict=True):
+            known[part] = made[some[0]] if len(some) == 1 else sum([made[t] for t in some], ())
+        out = []
+        for some in parts:
+            ids: list[int] = []
+            for part in some:
+                ids += known[part]
+            out.append(ids)
+        for part in unknown:
+            if len(part) > CACHED_LENGTH:
+                del known[part]
+        if len(known) >= CACHED:
+            self.old, self.new = known, {}
+        return out
+
+    def _merge_all(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
+        ranks = self.vocab.ranks
+        made: dict[str, tuple[int, ...]] = {}
+        by_width: dict[int, list[str]] = {w: [] for w in WIDTHS}
+        for token in tokens:
+            piece = token.encode()
+            whole = ranks.get(piece)
+            width = next((w for w in WIDTHS if len(piece) <= w), None)
+            if whole is not None:
+                made[token] = (whole,)
+            elif width is None:
+                made[token] = tuple(merge(piece, ranks))
+            else:
+                by_width[width].append(token)
+        for width, some in by_width.items():
+            if some:
+                made.update(zip(some, merge_many([t.encode() for t in some], self.vocab, width), strict=True))
+        return made
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _remember(known: dict, key: str, ids: list[int]) -> None:
-    if len(key) <= CACHED_LENGTH:
-        if len(known) >= CACHED:
-            known.clear()
-        known[key] = ids
-
-
 def _digest(ids: np.ndarray, raw: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
@@ -166,8 +241,7 @@ def _encode_rows(picked: DataFrame, shared, keys: list[str], text: str) -> DataF
         def each(batch):
             made = {k: batch.column(i) for i, k in enumerate(keys)}
             ids, sums = [], []
-            for t in batch.column(len(keys)).to_pylist():
-                some = coder.encode(t or "")
+            for some in coder.encode_all([t or "" for t in batch.column(len(keys)).to_pylist()]):
                 ids.append(np.array(some, dtype=np.int32))
                 sums.append(_digest(ids[-1], coder.decode(some)))
             yield made | {"ids": ids} | {c: [s[j] for s in sums] for j, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
