@@ -29,7 +29,8 @@ MAX_PARTS = 512
 NEIGHBOURS = 10
 RECALL = 0.95  # share of held-out neighbours that the visits must cover
 TILE = 8192  # rows and queries of a tile
-BLOCK = 1 << 21  # distances computed at a time
+BLOCK = 1 << 21  # distances computed at a time in a tile
+FIT_BLOCK = 1 << 19  # and where partitions are fitted, on the driver
 
 
 # --- learning the partitions -------------------------------------------------------------------
@@ -39,11 +40,12 @@ def nearest(queries: np.ndarray, rows: np.ndarray, k: int, skip_first: bool = Fa
     """Indices of the k nearest rows of each query; with ``skip_first`` query i is row i and left out."""
     out = []
     norms = (rows**2).sum(1)
-    for a in range(0, len(queries), 1024):
-        d = norms - 2 * queries[a : a + 1024] @ rows.T
+    step = max(1, FIT_BLOCK // max(1, len(rows)))
+    for a in range(0, len(queries), step):
+        d = norms - 2 * queries[a : a + step] @ rows.T
         if skip_first:
             d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-        out.append(np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
