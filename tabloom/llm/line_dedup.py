@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import SPACES, ascii_lower, fresh
+from tabloom.session import cut_lineage
 
 MIN_CHARS = 10
 
@@ -42,6 +43,9 @@ def dropped_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     else:
         once = hashed.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
         shared = once.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # Written first, both sides of the join come from a shuffle of their own, and Spark can split a
+    # hash that a third of all lines have.
+    shared = cut_lineage(shared)
     gone = hashed.join(shared, ["h1", "h2"]).where("id <> first")
     return gone.groupBy("id").agg(F.collect_set("place").alias("places"))
 
