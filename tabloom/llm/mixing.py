@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import fresh, words
-from tabloom.operators.ordering import hash_position, position
+from tabloom.operators.ordering import position
 from tabloom.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -25,6 +25,7 @@ SHARE = 1.5
 MOST = 2
 SUMS = 1 << 16  # words of a budget that the knapsack decides; beyond that, the largest documents that fit go in first
 RESERVE = 1 << 13  # words of a budget that are left to the knapsack at least
+CHUNK_BITS = 8
 SEED = "mix"
 
 
@@ -146,9 +147,19 @@ def mix(
     picks = counted.join(budgets, "key").groupBy("key").applyInPandas(per_key, "key string, size long, picks long")
     picks = cut_lineage(picks)
 
-    rows = sizes.withColumn("key", _key("source")).join(plan.drop("source", "rest"), "key").join(picks, ["key", "size"], "left")
-    placed = hash_position(rows, ["key", "size"], seed, ["doc_id"], out="place", chunk_digits=2)
-    times = F.col("passes") + F.when(F.col("place") < F.coalesce("picks", F.lit(0)), 1).otherwise(0)
+    # The first documents of each length in the order of a seeded hash are the ones. Lengths are cut
+    # into chunks by the hash, so that thousands of copies of one length are ranked in many tasks.
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    rows = sizes.select("*", _key("source").alias("key"), h.alias("h"), F.shiftrightunsigned(h, 64 - CHUNK_BITS).alias("chunk"))
+    chunks = rows.groupBy("key", "size", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("key", "size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    quota = F.coalesce("picks", F.lit(0)) - F.col("first")  # how many of the chunk are taken
+    chunks = chunks.join(picks, ["key", "size"], "left").join(plan.drop("source", "rest"), "key")
+    chunks = chunks.select("key", "size", "chunk", quota.alias("quota"), "passes", "source_size", "target")
+    place = F.row_number().over(Window.partitionBy("key", "size", "chunk").orderBy("h", "doc_id"))
+    placed = rows.join(chunks, ["key", "size", "chunk"])
+    times = F.col("passes") + F.when(place <= F.col("quota"), 1).otherwise(0)
     return placed.withColumn("times", times).select(
         "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
     )
