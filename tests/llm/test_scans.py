@@ -77,7 +77,7 @@ def test_license_with_changes():
     (found,) = finder.find("before. " + text + " after")
     assert found["license"] == "mit" and found["coverage"] < 1
     assert ("before. " + text)[found["start"] :].startswith("Permission") and ("before. " + text)[: found["end"]].endswith("conditions")
-    assert finder.find("released under the mit") == [] and finder.find("") == []
+    assert finder.find("released under the") == [] and finder.find("") == []
 
 
 def longest_in_band(template, region, shift, band):
