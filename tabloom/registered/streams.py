@@ -21,7 +21,7 @@ def _stream(spark, folder, name):
 def _serialize(spark, folder):
     s = _stream(spark, folder, "events")
     out = labels.to_samples(s, "event_type", SerializerConfig(), choices=["click", "view"], keep=["event_id"])
-    return streams.write_available(labels.drop_long(out))
+    return streams.write_available(out)
 
 
 QUERIES["stream_serialize"] = _serialize
