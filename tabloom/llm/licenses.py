@@ -3,8 +3,11 @@
 Templates are cut into words; of every window of neighbouring word shingles the smallest hash is kept,
 and these fingerprints point into an inverted index of (template, place). In a document all shingles
 are looked up, so whatever shares ``SHINGLE + WINDOW - 1`` words in a row with a template is a candidate.
-Hits of one template on nearby diagonals form a candidate region; a banded alignment of template and
-region gives the matched words, the coverage of the template and the span in the document.
+Of a template of at most ``SHORT`` words, one word more than a match may lack is indexed by itself, so
+every match holds one of them. A banded alignment of the template around the diagonal of a hit gives
+the matched words, the coverage of the template and the span in the document; after a match the search
+goes on behind it. Short templates are first aligned in a band of a quarter of their length, so that
+neighbouring notices do not mix, then what is left between those in the whole band.
 
 Templates are few and short, so the index goes to every task, and documents never shuffle.
 """
@@ -12,9 +15,10 @@ Templates are few and short, so the index goes to every task, and documents neve
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,8 @@ SHINGLE = 3
 WINDOW = 2
 BAND = 8  # words that an alignment may be shifted against its diagonal
 COVERAGE = 0.8
+SHORT = 12  # words of templates of which single words are indexed
+COMMON = frozenset("a and are as at by for in is it of on or that the this to under with work".split())  # indexed last
 WORD = re.compile(r"[A-Za-z0-9]+")
 
 # Notices that licenses ask to be put on a work.
@@ -64,6 +70,7 @@ class Index:
     words: list[list[str]]
     places: dict[int, list[tuple[int, int]]]  # fingerprint -> (template, place)
     vocabulary: frozenset[str]  # words of shingles that are indexed
+    single: dict[str, list[tuple[int, int]]]  # word that is indexed by itself -> (template, place)
 
 
 def _hash(words: list[str]) -> int:
@@ -82,19 +89,26 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     return sorted(chosen)
 
 
-def build_index(templates: dict[str, str] = TEMPLATES) -> Index:
+def build_index(templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> Index:
     names = sorted(templates)
     words = [WORD.findall(templates[n].lower()) for n in names]
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     vocabulary = set()
+    single: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for t, w in enumerate(words):
         if len(w) < SHINGLE:
             raise ValueError(f"template {names[t]} has fewer than {SHINGLE} words")
+        if len(w) <= SHORT:
+            lacks = len(w) - ceil(coverage * len(w) - 1e-9)
+            order = sorted(range(len(w)), key=lambda i: (w[i] in COMMON, -len(w[i]), i))
+            for i in order[: lacks + 1]:
+                single[w[i]].append((t, i))
+            continue
         hashes = [_hash(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
         for i in winnow(hashes):
             places[hashes[i]].append((t, i))
             vocabulary.update(w[i : i + SHINGLE])
-    return Index(names, words, dict(places), frozenset(vocabulary))
+    return Index(names, words, dict(places), frozenset(vocabulary), dict(single))
 
 
 def align(template: list[str], region: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -126,39 +140,78 @@ class Finder:
     def __init__(self, index: Index, coverage: float, band: int):
         self.index, self.coverage, self.band = index, coverage, band
 
+    def _match(self, words: list[str], t: int, shift: int, band: int, low: int, high: int) -> tuple[int, int, int]:
+        """Matched words, first and last place of the best alignment around a diagonal between two places."""
+        template = self.index.words[t]
+        low, high = max(low, shift - band), min(high, shift + len(template) + band)
+        n, first, last = align(template, words[low:high], shift - low, band)
+        return n, low + first, low + last
+
+    def _scan(
+        self, words: list[str], t: int, hits: list[tuple[int, int]], band: int, low: int, high: int, begin: int = 0
+    ) -> list[tuple[int, int, int, int]]:
+        """Matches (first, last, n, diagonal) that do not overlap, between two places, around the hits from ``begin``.
+
+        Hits (place, diagonal) are in order of place.
+        """
+        out, tried, least = [], set(), self.coverage * len(self.index.words[t]) - 1e-9
+        for k in range(max(begin, bisect_left(hits, (low,))), bisect_left(hits, (high,))):
+            at, shift = hits[k]
+            if at < low or shift in tried:
+                continue
+            n, first, last = self._match(words, t, shift, band, low, high)
+            if n < least:
+                tried.add(shift)
+                continue
+            # What stands before the match may be one too; its hits come again.
+            if first > at:
+                out += self._scan(words, t, hits, band, low, first, k)
+            out.append((first, last, n, shift))
+            low = last + 1
+            tried.clear()
+        return out
+
+    def _matches(self, words: list[str], t: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        size = len(self.index.words[t])
+        narrow = min(self.band, max(1, size // 4))
+        found = self._scan(words, t, hits, narrow, 0, len(words))
+        if narrow == self.band:
+            return found
+        out, low = [], 0
+        for k, (first, last, n, shift) in enumerate(found):
+            high = found[k + 1][0] if k + 1 < len(found) else len(words)
+            if n < size:  # words may have been put in between
+                wide = self._match(words, t, shift, self.band, low, high)
+                n, first, last = wide if wide[0] > n else (n, first, last)
+            out += self._scan(words, t, hits, self.band, low, first)
+            out.append((first, last, n, shift))
+            low = last + 1
+        return out + self._scan(words, t, hits, self.band, low, len(words))
+
     def find(self, text: str) -> list[dict]:
         """Matches of a text: license, matched words, coverage, start and end (code points, end exclusive)."""
         spans, words = [], []
         for m in WORD.finditer(text):
             spans.append(m.span())
             words.append(m.group().lower())
-        known, places = self.index.vocabulary, self.index.places
+        known, places, single = self.index.vocabulary, self.index.places, self.index.single
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         run = 0
         for i, w in enumerate(words):
+            if w in single:
+                for t, place in single[w]:
+                    hits[t].append((i, i - place))
             run = run + 1 if w in known else 0
             if run >= SHINGLE:
                 at = i - SHINGLE + 1
                 for t, place in places.get(_hash(words[at : i + 1]), ()):
-                    hits[t].append((at - place, place))
+                    hits[t].append((at, at - place))
         found = []
         for t, some in hits.items():
-            template = self.index.words[t]
-            taken_to = -1
-            some.sort()
-            k = 0
-            while k < len(some):
-                shift = some[k][0]
-                # Hits whose diagonals the band of this one covers are the same region.
-                k = bisect_right(some, (shift + self.band, len(template)))
-                low = max(0, shift - self.band)
-                region = words[low : shift + len(template) + self.band + 1]
-                n, first, last = align(template, region, shift - low, self.band)
-                if n >= self.coverage * len(template) and low + first > taken_to:
-                    taken_to = low + last
-                    found.append((spans[low + first][0], spans[low + last][1], t, n))
-        # A notice inside a longer one that was found too is no finding of its own.
-        found.sort(key=lambda f: (f[0], -f[1], -f[3]))
+            for first, last, n, _ in self._matches(words, t, sorted(some)):
+                found.append((spans[first][0], spans[last][1], t, n))
+        # A notice inside a longer one that was found too is no finding of its own; of equals the more covered counts.
+        found.sort(key=lambda f: (f[0], -f[1], -f[3], len(self.index.words[f[2]]), f[2]))
         out, end = [], -1
         for start, stop, t, n in found:
             if stop > end:
@@ -177,7 +230,7 @@ def find_licenses(
     compare as letters and digits in any case. Null and empty texts have none. A null or repeated
     doc_id is passed on; other columns are not read. Whole texts are searched.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build_index(templates))  # the templates' words
+    shared = docs.sparkSession.sparkContext.broadcast(build_index(templates, coverage))  # the templates' words
 
     def start():
         finder = Finder(shared.value, coverage, band)

@@ -113,3 +113,26 @@ def test_winnowing_keeps_one_of_each_window():
 def test_license_odd_rows(nasty, empty):
     assert licenses.find_licenses(nasty).count() == nasty.count()
     assert licenses.find_licenses(empty).collect() == []
+
+
+def test_repeated_short_notices_are_findings_each():
+    finder = licenses.Finder(licenses.build_index(), licenses.COVERAGE, licenses.BAND)
+    for name, text in licenses.TEMPLATES.items():
+        for n in (2, 5, 20):
+            got = finder.find(" ".join([text] * n))
+            assert [(f["license"], f["coverage"]) for f in got] == [(name, 1)] * n, (name, n)
+    got = finder.find("Released under the Foo License. Released under the MIT License. Released under the MIT Licence.")
+    assert [f["matched"] for f in got] == [4, 5, 4]
+
+
+def test_short_notice_with_any_word_changed_or_words_put_in():
+    finder = licenses.Finder(licenses.build_index(), licenses.COVERAGE, licenses.BAND)
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.WORD.findall(text)
+        if len(words) > 12:
+            continue
+        for i in range(len(words)):
+            (found,) = finder.find(" ".join([*words[:i], "zzz", *words[i + 1 :]]))
+            assert found["matched"] == len(words) - 1, (name, i)
+        spread = finder.find(" ".join(w + " zzz" for w in words[:8]) + " " + " ".join(words[8:]))
+        assert [(f["license"], f["matched"]) for f in spread] == [(name, len(words))]
