@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import ann, bpe, licenses, line_dedup, mixing, quality, secrets, simhash, token_counts, urls
+from tabloom.llm import ann, bpe, centroids, licenses, line_dedup, mixing, mtree, quality, resample, secrets, simhash, token_counts, urls
 from tabloom.llm.common import load
 
 PIECES = "piece_bpe_32k.model"
@@ -75,6 +75,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn to look like the benchmark, and the scores of all."""
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of the largest inner product with every hundredth vector."""
+    return mtree.search(load(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds, and the inertia."""
+    return centroids.cluster(load(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 _WORD = r"[^\x20\x09-\x0D]"
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for some in quality.STOP_WORDS.values() for w in some}))
 
@@ -111,6 +126,61 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM m GROUP BY rid
 """
 
+OP11_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT row_number() OVER () AS rid, true AS own, doc_id AS id, text FROM documents
+  UNION ALL SELECT row_number() OVER (), false, item_id, text FROM benchmark),
+w AS (SELECT rid, own, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+f AS (SELECT rid, own, unnest(ws) AS word FROM w),
+hexed AS (SELECT word, hex(word) AS h FROM (SELECT DISTINCT word FROM f)),
+b AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, crc),
+n AS (SELECT bucket, count(*) FILTER (WHERE own) AS s, count(*) FILTER (WHERE NOT own) AS t FROM f JOIN b USING (word) GROUP BY bucket),
+total AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000))))::BIGINT AS gain FROM n, total),
+weights AS (SELECT rid, sum(gain)::BIGINT AS weight FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE own GROUP BY rid),
+d AS (SELECT rid, id AS doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN weights USING (rid) WHERE own),
+sc AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+  10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS draw FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= draw THEN place END AS rank FROM r
+"""
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranks WHERE rank <= 10
+"""
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    """The rounds one after another, each a join of all vectors with all centroids."""
+    near = """SELECT rid, c, d FROM (SELECT rid, c, d, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS place FROM
+  (SELECT rid, c, list_dot_product(x.v, x.v) + list_dot_product(m.v, m.v) - 2 * list_dot_product(x.v, m.v) AS d FROM x, {m} m)) WHERE place = 1"""
+    steps = "".join(
+        f""",
+a{i} AS MATERIALIZED ({near.format(m=f"c{i}")}),
+s{i} AS (SELECT c, pos, floor(sum(y) / count(*)) AS y FROM (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM a{i} JOIN x USING (rid)) GROUP BY c, pos),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(y ORDER BY pos) AS v FROM s{i} GROUP BY c) m ON m.c = o.c)"""
+        for i in range(rounds)
+    )
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM x QUALIFY c < 40){steps},
+last AS MATERIALIZED ({near.format(m=f"c{rounds}")})
+SELECT vec_id, l.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY l.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(m.v, lambda y: y::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM last l JOIN x USING (rid) JOIN c{rounds} m ON m.c = l.c
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -122,6 +192,12 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_resample": op11_resample,
+    "op12_exact_search": op12_exact_search,
+    "op13_centroids": op13_centroids,
 }
 
-SQL = {"op7_quality_rules": OP7_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {
+    "op7_quality_rules": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_resample": OP11_SQL, "op12_exact_search": OP12_SQL,
+    "op13_centroids": _op13_sql(),
+}
