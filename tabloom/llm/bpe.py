@@ -17,8 +17,10 @@ import heapq
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,14 @@ from tabloom.llm.common import map_batches, type_of
 
 CHUNK = 1 << 16  # code points a chunk owns
 OVERLAP = 1 << 10  # code points it reads beyond
-CACHED = 150_000  # stretches used lately whose ids a task remembers; as many older ones
-CACHED_LENGTH = 64  # longer ones are not remembered
+CACHED = 300_000  # stretches whose ids a task remembers; beyond, those of the last block stay
+CACHED_LENGTH = 64  # longer ones go then
 BLOCK_CHARS = 1 << 21  # characters of texts that are looked up together
-WIDTHS = (8, 16, 32, 64)  # bytes of pre-tokens that are merged side by side; longer ones go one by one
+WIDTHS = (6, 8, 10, 12, 16, 32, 64)  # bytes of pre-tokens that are merged side by side; longer ones go one by one
 
 # Unicode's white space. No pre-token goes on from another character into it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
 STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
@@ -44,6 +47,8 @@ class Ranks:
     pattern: str
     pairs: np.ndarray  # sorted: left id << 32 | right id
     merged: np.ndarray  # the id that each pair makes, which is also its rank
+    byte_ids: np.ndarray  # of the 256 single bytes
+    byte_pairs: np.ndarray  # what two single bytes make, or the largest number
 
 
 def vocabulary(ranks: dict[bytes, int], pattern: str) -> Ranks:
@@ -56,7 +61,10 @@ def vocabulary(ranks: dict[bytes, int], pattern: str) -> Ranks:
         if piece[:k] in ranks and piece[k:] in ranks
     )
     both = np.array(found, dtype=np.int64).reshape(-1, 2)
-    return Ranks(ranks, pattern, both[:, 0].copy(), both[:, 1].copy())
+    none = np.iinfo(np.int32).max
+    pairs = np.array([[ranks.get(bytes([a, b]), none) for b in range(256)] for a in range(256)], dtype=np.int32)
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+    return Ranks(ranks, pattern, both[:, 0].copy(), both[:, 1].astype(np.int32), byte_ids, pairs)
 
 
 def read_ranks(path: str, pattern: str) -> Ranks:
@@ -105,32 +113,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def merge_many(pieces: list[bytes], vocab: Ranks, width: int) -> list[tuple[int, ...]]:
+def merge_many(pieces: list[bytes], vocab: Ranks, width: int) -> Pieces:
     """The same for many pre-tokens of at most ``width`` bytes, one merge of each at a time."""
-    none = np.iinfo(np.int64).max
+    none = np.iinfo(np.int32).max
     n = len(pieces)
     length = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
     raw = np.frombuffer(b"".join(p.ljust(width + 2, b"\0") for p in pieces), dtype=np.uint8).reshape(n, width + 2)
-    byte_ids = np.array([vocab.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-    ids = np.where(np.arange(width + 2) < length[:, None], byte_ids[raw], -1)
+    ids = np.where(np.arange(width + 2) < length[:, None], vocab.byte_ids[raw], -1).astype(np.int32)
 
     def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(vocab.pairs, key), len(vocab.pairs) - 1)
-        return np.where((left >= 0) & (right >= 0) & (vocab.pairs[at] == key), vocab.merged[at], none)
+        return np.where((left >= 0) & (right >= 0) & (vocab.pairs[at] == key), vocab.merged[at], none).astype(np.int32)
 
-    low = rank(ids[:, :-1], ids[:, 1:])
-    done: list = [None] * n
-    who = np.arange(n)
+    # Most pairs that are ever looked up are of two single bytes.
+    low = np.where(ids[:, 1:] >= 0, vocab.byte_pairs[raw[:, :-1], raw[:, 1:]], none)
+    who, done, parts = np.arange(n), [], []
     while len(who):
         at = low.argmin(1)
         best = low[np.arange(len(who)), at]
         over = best == none
-        left = ids[over]
-        flat, ends = left[left >= 0].tolist(), np.cumsum((left >= 0).sum(1)).tolist()
-        for k, a, b in zip(who[over].tolist(), [0, *ends], ends, strict=False):
-            done[k] = tuple(flat[a:b])
-        ids, low, who, at, best = (x[~over] for x in (ids, low, who, at, best))
+        if over.any():
+            left = ids[over]
+            parts.append(left[left >= 0])
+            done.append((who[over], (left >= 0).sum(1)))
+            ids, low, who, at, best = (x[~over] for x in (ids, low, who, at, best))
         rows = np.arange(len(who))
         ids[rows, at] = best
         # What is right of the pair moves one place to the left.
@@ -141,7 +148,43 @@ def merge_many(pieces: list[bytes], vocab: Ranks, width: int) -> list[tuple[int,
         low[rows, at] = rank(ids[rows, at], ids[rows, at + 1])
         left = np.maximum(at - 1, 0)
         low[rows, left] = np.where(at > 0, rank(ids[rows, left], ids[rows, left + 1]), low[rows, left])
-    return done
+    ended = Pieces.of(np.concatenate([c for _, c in done] or [_NONE]), np.concatenate(parts or [_NONE]).astype(np.int32))
+    back = np.empty(n, dtype=np.int64)
+    back[np.concatenate([w for w, _ in done] or [_NONE])] = np.arange(n)
+    return ended.take(back)
+
+
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Runs of ids, one behind the other."""
+
+    start: np.ndarray  # one more than there are runs
+    ids: np.ndarray
+
+    @staticmethod
+    def of(lengths: np.ndarray, ids: np.ndarray) -> Pieces:
+        return Pieces(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), ids)
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    def take(self, which: np.ndarray) -> Pieces:
+        """The runs ``which`` in that order, repeats allowed."""
+        lengths = self.lengths[which]
+        out = Pieces.of(lengths, _NONE)
+        at = np.repeat(self.start[which] - out.start[:-1], lengths) + np.arange(out.start[-1])
+        return Pieces(out.start, self.ids[at])
+
+    def joined(self, counts: np.ndarray) -> Pieces:
+        """Every ``counts`` runs in a row made one."""
+        return Pieces(self.start[np.concatenate([[0], np.cumsum(counts)])], self.ids)
+
+    def and_(self, other: Pieces) -> Pieces:
+        return Pieces(np.concatenate([self.start, other.start[1:] + self.start[-1]]), np.concatenate([self.ids, other.ids]))
 
 
 class Encoder:
@@ -153,75 +196,91 @@ class Encoder:
         self.vocab = vocab
         self.cut = regex.compile(vocab.pattern)
         self.bytes_of = {rank: piece for piece, rank in vocab.ranks.items()}
-        # Ids by stretch, in two generations: when the newer is full, the older goes. Tuples of
-        # numbers cost the garbage collector nothing.
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.whole = {}  # ids of pieces that are texts
+        for piece, rank in vocab.ranks.items():
+            try:
+                self.whole[piece.decode()] = rank
+            except UnicodeDecodeError:
+                continue
+        self.slots: dict[str, int] = {}  # where in ``known`` the ids of a stretch are
+        self.known = Pieces.of(_NONE, _NONE.astype(np.int32))
 
     def starts(self, text: str) -> list[int]:
         """Where pre-tokens start."""
         return [m.start() for m in self.cut.finditer(text)]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text]).ids.tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> Pieces:
         """Ids of each text: those of its stretches, which no pre-token crosses, in a row."""
-        out: list[list[int]] = []
+        out = Pieces.of(_NONE, _NONE.astype(np.int32))
         first = size = 0
         for i, t in enumerate(texts):
             size += len(t)
             if size >= BLOCK_CHARS or i + 1 == len(texts):
-                out += self._block(texts[first : i + 1])
+                out = out.and_(self._block(texts[first : i + 1]))
                 first, size = i + 1, 0
         return out
 
-    def _block(self, texts: list[str]) -> list[list[int]]:
+    def _block(self, texts: list[str]) -> Pieces:
         parts = [STRETCH.findall(t) for t in texts]
-        known = self.new
-        unknown = []
-        for part in set().union(*parts):
-            if part not in known:
-                found = self.old.get(part)
-                if found is None:
-                    unknown.append(part)
-                else:
-                    known[part] = found
-        tokens = [self.cut.findall(part) for part in unknown]
-        made = self._merge_all(set().union(*tokens))
-        for part, some in zip(unknown, tokens, strict=True):
-            known[part] = made[some[0]] if len(some) == 1 else sum([made[t] for t in some], ())
-        out = []
-        for some in parts:
-            ids: list[int] = []
-            for part in some:
-                ids += known[part]
-            out.append(ids)
-        for part in unknown:
-            if len(part) > CACHED_LENGTH:
-                del known[part]
-        if len(known) >= CACHED:
-            self.old, self.new = known, {}
+        row = list(chain.from_iterable(parts))
+        slot = np.fromiter(map(self.slots.get, row, repeat(-1)), dtype=np.int64, count=len(row))
+        new = np.flatnonzero(slot < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(row[i] for i in new)))
+            slot[new] = [self.slots[row[i]] for i in new]
+        out = self.known.take(slot).joined(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        if len(self.slots) > CACHED:  # only what this block needed stays
+            used = np.unique(slot)
+            names = {s: part for part, s in self.slots.items()}
+            kept = [int(s) for s in used if len(names[s]) <= CACHED_LENGTH][: CACHED // 2]
+            self.known = self.known.take(np.array(kept, dtype=np.int64))
+            self.slots = {names[s]: i for i, s in enumerate(kept)}
         return out
 
-    def _merge_all(self, tokens: set[str]) -> dict[str, tuple[int, ...]]:
-        ranks = self.vocab.ranks
-        made: dict[str, tuple[int, ...]] = {}
-        by_width: dict[int, list[str]] = {w: [] for w in WIDTHS}
-        for token in tokens:
-            piece = token.encode()
-            whole = ranks.get(piece)
-            width = next((w for w in WIDTHS if len(piece) <= w), None)
-            if whole is not None:
-                made[token] = (whole,)
-            elif width is None:
-                made[token] = tuple(merge(piece, ranks))
+    def _learn(self, stretches: list[str]) -> None:
+        """Adds the ids of stretches that are not known."""
+        # A stretch that starts with white space and goes on cuts the same behind others as alone.
+        chained = [s for s in stretches if s[0] in _SPACES and s[-1] not in _SPACES]
+        tokens = self.cut.findall("".join(chained))
+        ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+        of_each = np.cumsum(np.fromiter(map(len, chained), dtype=np.int64, count=len(chained)))
+        counts = np.diff(np.searchsorted(ends, of_each, "right"), prepend=0).tolist()
+        for s in stretches:
+            if s[0] not in _SPACES or s[-1] in _SPACES:
+                alone = self.cut.findall(s)
+                chained.append(s)
+                tokens += alone
+                counts.append(len(alone))
+        found = self._merge_all(list(dict.fromkeys(tokens)))
+        at = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        made = found.take(np.fromiter(map(at.__getitem__, tokens), dtype=np.int64, count=len(tokens))).joined(np.array(counts, dtype=np.int64))
+        self.slots.update(zip(chained, range(len(self.slots), len(self.slots) + len(chained)), strict=True))
+        self.known = self.known.and_(made)
+
+    def _merge_all(self, tokens: list[str]) -> Pieces:
+        """Ids of each of some distinct pre-tokens."""
+        first = np.fromiter(map(self.whole.get, tokens, repeat(-1)), dtype=np.int32, count=len(tokens))
+        easy = np.flatnonzero(first >= 0)
+        out, places = Pieces.of(np.ones(len(easy), dtype=np.int64), first[easy]), [easy]
+        hard = np.flatnonzero(first < 0)
+        raw = [tokens[i].encode() for i in hard.tolist()]
+        kind = np.searchsorted(WIDTHS, np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        for k in np.unique(kind).tolist():
+            which = np.flatnonzero(kind == k)
+            some = [raw[i] for i in which.tolist()]
+            if k < len(WIDTHS):
+                made = merge_many(some, self.vocab, WIDTHS[k])
             else:
-                by_width[width].append(token)
-        for width, some in by_width.items():
-            if some:
-                made.update(zip(some, merge_many([t.encode() for t in some], self.vocab, width), strict=True))
-        return made
+                each = [merge(piece, self.vocab.ranks) for piece in some]
+                made = Pieces.of(np.array([len(x) for x in each]), np.array(list(chain.from_iterable(each)), dtype=np.int32))
+            out = out.and_(made)
+            places.append(hard[which])
+        back = np.empty(len(tokens), dtype=np.int64)
+        back[np.concatenate(places)] = np.arange(len(tokens))
+        return out.take(back)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -240,10 +299,10 @@ def _encode_rows(picked: DataFrame, shared, keys: list[str], text: str) -> DataF
 
         def each(batch):
             made = {k: batch.column(i) for i, k in enumerate(keys)}
-            ids, sums = [], []
-            for some in coder.encode_all([t or "" for t in batch.column(len(keys)).to_pylist()]):
-                ids.append(np.array(some, dtype=np.int32))
-                sums.append(_digest(ids[-1], coder.decode(some)))
+            coded = coder.encode_all([t or "" for t in batch.column(len(keys)).to_pylist()])
+            ids = pa.ListArray.from_arrays(pa.array(coded.start.astype(np.int32)), pa.array(coded.ids))
+            rows = (coded.ids[a:b] for a, b in zip(coded.start[:-1].tolist(), coded.start[1:].tolist(), strict=True))
+            sums = [_digest(some, coder.decode(some.tolist())) for some in rows]
             yield made | {"ids": ids} | {c: [s[j] for s in sums] for j, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
 
         return each
