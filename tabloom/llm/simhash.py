@@ -275,14 +275,19 @@ def near_duplicates(
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
     Texts without words (null, empty, blank) have fingerprint zero and link like any other. Rows that
-    repeat a doc_id keep their rows, and each has the component of its own text. Rows without a doc_id (a long) take the component of
-    their fingerprint, null if no row with an id shares it. Other columns are not read.
+    repeat a doc_id keep their rows, and each has the component of its own text. Rows without a doc_id
+    (a long) link and are linked like the others; their component is null if none of its rows has an id.
+    Other columns are not read.
     """
     fps = cut_lineage(fingerprints(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text, shingle))
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes.where("node is not null"), blocks, max_bits))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Fingerprints are the nodes, as some may belong to no doc_id.
+    found = cut_lineage(components(links(nodes.select("fp", F.col("fp").alias("node")), blocks, max_bits)))
+    linked = found.join(nodes.withColumnRenamed("fp", "node"), "node")
+    named = cut_lineage(linked.groupBy("component").agg(F.min("least").alias("component_id"))).join(found, "component")
+    labels = nodes.join(named.select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("in_group")), "fp", "left")
+    labels = labels.select("fp", F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

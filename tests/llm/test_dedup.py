@@ -149,3 +149,43 @@ def test_lines_of_odd_rows(nasty, empty, docs):
     assert got == plain_lines([(r.doc_id, r.text) for r in nasty.collect()], docs=docs)
     assert line_dedup.dedup_lines(empty).collect() == []
     assert line_dedup.dedup_lines(nasty).columns == nasty.columns
+
+
+def test_rows_without_an_id_link_and_bridge(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts, seen = [], set()
+    for i in range(60):  # one word more is changed each time, so that fingerprints drift
+        words[(i * 37) % 400] = f"x{i}"
+        texts.append(" ".join(words))
+        seen.add(plain_fingerprint(texts[-1]))
+    assert len(seen) > 3
+    rows = [(i if i % 3 == 0 else None, t) for i, t in enumerate(texts)] + [(None, "only here"), (None, "and here too, far from it"), (7, None)]
+    prints = [(d, plain_fingerprint(t)) for d, t in rows]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert found(simhash.near_duplicates(df)) == plain_groups(prints)
+
+
+def test_lines_of_rows_that_repeat_an_id_with_other_texts(spark):
+    rows = [
+        (1, "shared line of text"), (2, "shared line of text\nx"), (2, "unique keepable line\ny"), (2, "unique keepable line\ny"),
+        (2, None), (None, "shared line of text"), (3, "y\nUnique keepable LINE \nz"),
+    ]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = line_dedup.dedup_lines(df, counts=("n_before", "n_gone"))
+        assert sorted((str(r.doc_id), r.n_before, r.n_gone, r.text) for r in out.collect()) == plain_lines(rows)
+
+
+def test_time_of_a_text_of_many_lines_grows_with_it(spark):
+    import time
+
+    def seconds(n):
+        rows = [(1, "a line that two share"), (2, "a line that two share\n" + "\n".join(f"own line number {i}" for i in range(n)))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        began = time.time()
+        assert sum(r.text.count("\n") for r in line_dedup.dedup_lines(df).collect()) == n - 1
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 20 * seconds(20_000)
