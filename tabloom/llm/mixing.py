@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import fresh, words
@@ -30,9 +30,16 @@ SEED = "mix"
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (doc_id, source, size): words of each text; a null text has none."""
-    size = F.coalesce(F.size(words(F.col(text).cast("string"))), F.lit(0))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.when(F.col(text).isNull(), 0).otherwise(size).cast("long").alias("size"))
+    """Rows (doc_id, source, size, digest): words of each text, and a hash of it; a null text has none."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"), _digest(text).alias("digest"))
+
+
+def _size(text: str) -> Column:
+    return F.when(F.col(text).isNull(), 0).otherwise(F.size(words(F.col(text).cast("string")))).cast("long")
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -123,11 +130,11 @@ def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, times, taken (= times * size).
+    """One row per input row: doc_id, source, size, source_size, target, times, taken (= times * size), digest.
 
     Null and empty texts have size 0, and a source without words takes none of its documents. A null
-    source is a source of its own. Rows that repeat a doc_id are separate documents; among rows that
-    agree in all of doc_id, source and size, which one is taken makes no difference. An empty table
+    source is a source of its own. Rows that repeat a doc_id are separate documents, told apart by the
+    hash of their texts (``digest``); rows with all of that in common are taken in any order. An empty table
     gives an empty one. The same rows and seed give the same result, however they are partitioned.
     """
     sizes = cut_lineage(sized(docs, doc_id, text, source))
@@ -149,7 +156,7 @@ def mix(
 
     # The first documents of each length in the order of a seeded hash are the ones. Lengths are cut
     # into chunks by the hash, so that thousands of copies of one length are ranked in many tasks.
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    h = F.xxhash64(F.lit(seed), "doc_id", "digest")
     rows = sizes.select("*", _key("source").alias("key"), h.alias("h"), F.shiftrightunsigned(h, 64 - CHUNK_BITS).alias("chunk"))
     chunks = rows.groupBy("key", "size", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("key", "size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,11 +164,11 @@ def mix(
     quota = F.coalesce("picks", F.lit(0)) - F.col("first")  # how many of the chunk are taken
     chunks = chunks.join(picks, ["key", "size"], "left").join(plan.drop("source", "rest"), "key")
     chunks = chunks.select("key", "size", "chunk", quota.alias("quota"), "passes", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("key", "size", "chunk").orderBy("h", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("key", "size", "chunk").orderBy("h", "doc_id", "digest"))
     placed = rows.join(chunks, ["key", "size", "chunk"])
     times = F.col("passes") + F.when(place <= F.col("quota"), 1).otherwise(0)
     return placed.withColumn("times", times).select(
-        "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "digest"
     )
 
 
@@ -171,19 +178,25 @@ def _key(source: str):
 
 
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """The mix as a table: every row of ``docs`` as often as :func:`mix` takes it, columns as they were."""
-    row, times, nth, copy = (fresh(docs, c) for c in ("__row", "__times", "__nth", "__copy"))
-    named = F.to_json(F.struct("doc_id", "source", "size"), {"ignoreNullFields": "false"})
-    plan = mix(docs, doc_id, text, source, **settings).where("times > 0").select(named.alias(row), F.col("times").alias(times))
-    plan = plan.groupBy(row).agg(F.sort_array(F.collect_list(times), asc=False).alias(times))
-    size = F.when(F.col(text).isNull(), 0).otherwise(F.size(words(F.col(text).cast("string")))).cast("long")
+    """The mix as a table: every row of ``docs`` as often as :func:`mix` takes it, columns as they were.
+
+    Rows that agree in doc_id, source and text are numbered where only some of them are taken; nothing
+    else tells them apart but their further columns, by which the first are not chosen.
+    """
+    row, often, nth, copy = (fresh(docs, c) for c in ("__row", "__often", "__nth", "__copy"))
+    name = lambda *of: F.to_json(F.struct(*of), {"ignoreNullFields": "false"})
+    mixed = mix(docs, doc_id, text, source, **settings).select(name("doc_id", "source", "size", "digest").alias(row), "times")
+    # Documents of one size are taken as often or once more, so equal rows have two numbers at most.
+    some = mixed.groupBy(row).agg(F.min("times").alias("low"), F.max("times").alias("high"), F.sum("times").alias("sum"), F.count(F.lit(1)).alias("n"))
+    more = F.col("sum") - F.col("low") * F.col("n")
+    plan = cut_lineage(some.where("high > 0").select(row, F.struct("low", "high", more.alias("more")).alias(often)))
     keyed = docs.withColumn(
-        row,
-        F.to_json(
-            F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), {"ignoreNullFields": "false"}
-        ),
+        row, name(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"), _digest(text).alias("digest"))
     )
     joined = keyed.join(plan, row)
-    numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row)))
-    copies = F.explode(F.array_repeat(F.lit(1), F.coalesce(F.get(times, F.col(nth) - 1), F.lit(0)).cast("int")))
-    return numbered.select(*docs.columns, copies.alias(copy)).drop(copy)
+    alike = F.col(often)["low"] == F.col(often)["high"]
+    counted = position(joined.where(~alike), [row], [row], out=nth)
+    times = F.when(F.col(nth) < F.col(often)["more"], F.col(often)["high"]).otherwise(F.col(often)["low"])
+    every = joined.where(alike).withColumn(nth, F.lit(-1).cast("long")).unionByName(counted)
+    copies = F.explode(F.array_repeat(F.lit(1), times.cast("int")))
+    return every.select(*docs.columns, copies.alias(copy)).drop(copy)
