@@ -25,7 +25,9 @@ from tabloom.llm.common import map_batches
 SAMPLE = 16_384  # vectors that partitions and classifier are fitted on, at most
 HELD_OUT = 512  # further vectors on which the number of visits is settled, at most
 PART_ROWS = 4096  # rows a partition is meant for
-MAX_PARTS = 512
+MAX_PARTS = 512  # outputs of the classifier; beyond PART_ROWS * MAX_PARTS rows partitions grow, and are cut into tiles
+LEAST_PARTS = 8  # where there are FEW rows or more
+FEW = 256
 NEIGHBOURS = 10
 RECALL = 0.95  # share of held-out neighbours that the visits must cover
 TILE = 8192  # rows and queries of a tile
@@ -217,12 +219,12 @@ def search(
     dim, n = most["d"], most["n"]
     rows = rows.where(F.size("v") == dim)
 
-    parts = int(min(MAX_PARTS, max(1, n // part_rows)))
+    parts = int(min(MAX_PARTS, max(n // part_rows, LEAST_PARTS if n >= FEW else 1)))
+    held_out = min(HELD_OUT, n // 5)
     if parts > 1:
-        drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample + HELD_OUT).select("v").toPandas()["v"]
+        drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample + held_out).select("v").toPandas()["v"]
         x = np.stack(drawn.to_numpy())
-        held = x[:HELD_OUT]
-        router = learn(np.unique(x[HELD_OUT:], axis=0), held, parts, k, recall)
+        router = learn(np.unique(x[held_out:], axis=0), x[:held_out], parts, k, recall)
     else:
         router = learn(np.zeros((0, dim)), np.zeros((0, dim)), 1, k, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(router)  # parts x dimensions
