@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import columns
-from tabloom.plans import tables_to_samples, training
+from tabloom.operators import columns, shards
+from tabloom.operators.ordering import position
+from tabloom.plans import reshard, tables_to_samples, training
 from tabloom.config import DataConfig, PipelineConfig
 from tabloom.registered.common import load, q, uniform
-from tabloom.session import scratch_path
+from tabloom.session import cut_lineage, scratch_path
 from tabloom.sources import arff, synthetic, tables, tar, taskconfig
+from tabloom.sources.commit import shard_files
 
 QUERIES, SQL = {}, {}
 
@@ -28,29 +30,70 @@ SQL["tar_round_trip"] = "SELECT lang || '__' || doc_id AS key, md5(text) AS text
 
 
 def _tar_corrupt(spark, folder):
-    """One shard of four loses a header in its middle: its problem is told, once, whatever the splits."""
-    from tabloom.sources.files import filesystem, listing
+    """One small shard loses the header of its middle sample: every sample before it and in the other shards
+    comes back, and the problem is told once, whatever the splits."""
+    from tabloom.sources.files import filesystem
 
     df = load(spark, folder, "documents")
     path = scratch_path(spark, "tar")
     body = F.to_json(F.struct("text", F.col("lang").alias("class_label_as_text"), F.col("source").alias("filename")))
-    tar.write_tar(df.select(F.concat_ws("__", "lang", "doc_id").alias("key"), body.alias("json")).repartition(4, "key"), path, "docs")
-    shard = sorted(p for p, _ in listing(path, ".tar"))[0]
-    fs, _ = filesystem(path)
-    with fs.open_input_file(shard) as f:
-        raw = bytearray(f.read())
-    # The first header behind the middle of the shard: headers say so at byte 257.
-    at = next(i for i in range(len(raw) // 2 // 512 * 512, len(raw), 512) if raw[i + 257 : i + 262] == b"ustar")
-    raw[at : at + 512] = b"x" * 512
-    with fs.open_output_stream(shard) as f:
-        f.write(bytes(raw))
+    samples = df.select(F.concat_ws("__", "lang", "doc_id").alias("key"), body.alias("json"))
+    placed = cut_lineage(shards.shard_by_size(samples.withColumn("bytes", F.octet_length("json") + 1024), ["key"], "bytes", 1 << 18))
+    count = placed.agg(F.max("shard") + 1).first()[0]
+    tar.write_tar(placed.repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("key").select("key", "json"), path, "docs")
+    index = cut_lineage(tar.read_index(spark, path))
+    # The first shard's middle sample; those before it in that shard stay readable.
+    held = index.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).orderBy("name").limit(1)
+    broken = position(index.join(F.broadcast(held.select("name", "n")), "name"), [], ["offset"], out="nth", bound=1).where("nth = n div 2")
+
+    def damage(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, _ = filesystem(row["path"])
+                with fs.open_input_file(row["path"]) as f:
+                    raw = bytearray(f.read())
+                raw[row["offset"] : row["offset"] + 512] = b"x" * 512
+                with fs.open_output_stream(row["path"]) as f:
+                    f.write(bytes(raw))
+            yield batch
+
+    lost = cut_lineage(broken.select("path", "offset", (F.col("n") - F.col("nth")).alias("behind")).mapInArrow(damage, "path string, offset long, behind long"))
     rows = tar.read_tar(spark, path, split_bytes=64 * 1024)
-    return rows.where("problem is not null").groupBy(F.lit(1).alias("one")).agg(
-        F.count(F.lit(1)).alias("problems"), F.count_distinct("shard").alias("shards")).drop("one")
+    told = rows.groupBy(F.lit(1).alias("one")).agg(F.count("problem").alias("problems"), F.count_distinct(F.when(F.col("problem").isNotNull(), F.col("shard"))).alias("shards"))
+    behind = lost.first()["behind"]
+    survivors = rows.where("problem is null").select("key").join(samples.select("key"), "key").count()
+    return told.select("problems", "shards", F.lit(survivors + behind).alias("survivors_and_lost"))
 
 
 QUERIES["tar_corrupt_reported"] = _tar_corrupt
-SQL["tar_corrupt_reported"] = "SELECT count(DISTINCT 1) AS problems, count(DISTINCT 1) AS shards FROM documents"
+SQL["tar_corrupt_reported"] = "SELECT count(DISTINCT 1) AS problems, count(DISTINCT 1) AS shards, count(*) AS survivors_and_lost FROM documents"
+
+
+def _reshard(spark, folder):
+    """Shards of documents become shards of half the size in their place: every member as it was, in order."""
+    df = load(spark, folder, "documents")
+    path = scratch_path(spark, "tar")
+    body = F.to_json(F.struct("text", "lang", "source"))
+    tar.write_tar(df.select(F.concat_ws("__", "lang", "doc_id").alias("key"), body.alias("json")).repartition(4, "key"), path, "docs")
+
+    def member_places():
+        index = cut_lineage(tar.read_index(spark, path))
+        return position(index, [], ["name", "offset"], out="place").select("key", "length", "place")
+
+    before = member_places()
+    target = max(size for _, size, _ in shard_files(path)) // 2
+    made = reshard.reshard(spark, path, target, "docs")
+    # A shard holds its share and no more than the sample that crosses into it.
+    fits = made.agg(F.max("bytes") <= target + before.agg(F.max("length")).first()[0] + 2048).first()[0]
+    after = member_places().withColumnsRenamed({"length": "new_length", "place": "new_place"})
+    back = tar.read_tar(spark, path, strict=True)
+    same = (F.col("place") == F.col("new_place")) & (F.col("length") == F.col("new_length"))
+    return back.join(before, "key").join(after, "key").select(
+        "key", F.md5(F.from_json("json", "text string")["text"].cast("binary")).alias("text_md5"), same.alias("in_place"), F.lit(fits).alias("fits"))
+
+
+QUERIES["reshard_shards"] = _reshard
+SQL["reshard_shards"] = "SELECT lang || '__' || doc_id AS key, md5(text) AS text_md5, true AS in_place, true AS fits FROM documents"
 
 
 def _arff(spark, folder):
