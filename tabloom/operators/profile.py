@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from tabloom.config import TargetConfig
 from tabloom.functions import text
-from tabloom.operators.ordering import join_null_safe
+from tabloom.operators.ordering import broadcast_if_small, join_null_safe
+from tabloom.session import cut_lineage
 
 # Fixed value: a string that counts as a number.
 NUMERIC_PATTERN = r"(?U)^-?\d+(\.+\d+)?$"
@@ -33,43 +34,132 @@ def _is_nested(dt: T.DataType) -> bool:
     return isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
 
 
+def _is_whole(dt: T.DataType) -> bool:
+    return isinstance(dt, (*text.INT_TYPES, T.BooleanType, T.DateType, T.TimestampType))
+
+
+def _whole(c: Column, dt: T.DataType) -> Column:
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
+    return c.cast("int").cast("long") if isinstance(dt, T.BooleanType) else c.cast("long")
+
+
+def _cells(df: DataFrame, table: Column, columns: list[str], flags: bool = True) -> DataFrame:
+    """One row per cell: table_id, column, missing, a, b, and with ``flags`` length, numeric, zero_one.
+
+    ``a`` and ``b`` are 128 bits that equal values share: the value itself where it is a whole number,
+    else two hashes of it. Values are prepared in one projection and laid out in the next: in one, the
+    generated code of a wide table is larger than what the JVM compiles, and several times slower.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    ready, cells = [table.alias("table_id")], []
+    zero = F.lit(0).cast("long")
+    for i, name in enumerate(columns):
+        dt, c = fields[name], F.col(f"`{name}`")
+        value, shown, missing = (F.col(f"{x}{i}") for x in ("v", "s", "m"))
+        nested, number = _is_nested(dt), isinstance(dt, text.FLOAT_TYPES)
+        plain = not (nested or number or _is_whole(dt))  # told apart by the text
+        ready.append(is_missing(c, dt).alias(f"m{i}"))
+        if plain or (flags and not nested):
+            ready.append(text.py_str(c, dt).alias(f"s{i}"))
+        if number:
+            ready.append(F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")).alias(f"v{i}"))  # -0.0 is no value of its own
+        elif _is_whole(dt):
+            ready.append(_whole(c, dt).alias(f"v{i}"))
+        if nested:
+            ids, shown, numeric, zero_one = (zero, zero), F.lit(""), F.lit(False), F.lit(False)
+        elif _is_whole(dt):
+            ints = isinstance(dt, text.INT_TYPES)
+            ids, numeric, zero_one = (value, zero), ~missing & F.lit(ints), value.isin(0, 1) & F.lit(ints)
+        elif number:
+            plainly = (F.abs(value) >= 1e-4) & (F.abs(value) < 1e16)  # else spelled with an exponent
+            ids, numeric, zero_one = (F.xxhash64(value), F.xxhash64(F.lit(1), value)), (value == 0) | plainly, F.lit(False)
+        else:
+            ids, numeric, zero_one = (F.xxhash64(shown), F.xxhash64(F.lit(1), shown)), is_numeric_text(shown), shown.isin("0", "1")
+        cells += [F.lit(name), missing, *ids]
+        if flags:
+            cells += [F.length(shown), F.coalesce(numeric, F.lit(False)), F.coalesce(zero_one, F.lit(False))]
+    out = ["column", "missing", "a", "b", *(["length", "numeric", "zero_one"] if flags else [])]
+    return df.select(*ready).select("table_id", F.stack(F.lit(len(columns)), *cells).alias(*out))
+
+
 def column_profile(
-    df: DataFrame, table: Column, columns: list[str] | None = None, null_is_value: bool = True
+    df: DataFrame, table: Column, columns: list[str] | None = None, null_is_value: bool = True, settle: TargetConfig | None = None
 ) -> DataFrame:
     """One row per (table, column) with counts and the flags target selection needs.
 
-    Rows are unpivoted and collapsed twice: equal values first (combined map-side, so a value
-    that fills a third of the table costs one row per task), then per column.
+    A first pass sums every column up in one row per task: counts, flags, the longest text, the range of
+    what identifies a value. Columns without values, of one value, of 0 and 1, or of two neighbouring
+    whole numbers are settled by that. Only for the others the values themselves are told apart, as two numbers each,
+    equal ones collapsed before they move. ``settle`` counts only where the verdict of
+    :func:`target_candidates` under that configuration depends on it; ``n_unique`` and
+    ``n_unique_with_null`` are null elsewhere, so that long texts, which are never counted, never move.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns or [f.name for f in df.schema.fields]
-    cells = []
-    for name in names:
-        dt, c = fields[name], F.col(f"`{name}`")
-        shown = F.lit("") if _is_nested(dt) else text.py_str(c, dt)
-        cells += [F.lit(name), shown, is_missing(c, dt)]
-    long = df.select(
-        table.alias("table_id"), F.stack(F.lit(len(names)), *cells).alias("column", "value", "missing")
+    keys = ["table_id", "column"]
+    there = F.when(~F.col("missing"), F.lit(True))
+    counted = F.lit(True) if null_is_value else ~F.col("missing")
+    flat = cut_lineage(
+        _cells(df, table, names).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("missing").alias("n_missing"),
+            F.coalesce(F.bool_and(F.when(counted, F.col("numeric"))), F.lit(True)).alias("all_numeric"),
+            F.coalesce(F.bool_and(F.when(counted, F.col("zero_one"))), F.lit(False)).alias("zero_one"),
+            F.coalesce(F.max(F.when(counted, F.col("length"))), F.lit(0)).alias("max_len"),
+            *[f(F.when(there, F.col(c))).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("min", F.min), ("max", F.max))],
+        )
+    )
+    whole = F.col("column").isin([n for n in names if _is_whole(fields[n])])
+    dates = F.col("column").isin([n for n in names if is_date_type(fields[n])])
+    nested = F.col("column").isin([n for n in names if _is_nested(fields[n])])
+    span = F.col("max_a").cast("decimal(38,0)") - F.col("min_a").cast("decimal(38,0)")
+    known = (
+        F.when(F.col("n") == F.col("n_missing"), 0)
+        .when((F.col("min_a") == F.col("max_a")) & (F.col("min_b") == F.col("max_b")), 1)
+        .when(whole & (span == 1), 2)
+        .when(F.col("zero_one"), 2)
     )
-    prof = _per_column(long, ["table_id", "column"], null_is_value)
-    dates = [n for n in names if is_date_type(fields[n])]
-    nested = [n for n in names if _is_nested(fields[n])]
+    open_ = known.isNull()
+    if settle:
+        # More than one value is known; what may be left is whether all of them differ.
+        differ = F.col("all_numeric") & (F.col("n_missing") == 0) & (~whole | (span + 1 >= F.col("n")))
+        asked = F.lit(settle.min_unique_values > 2) | (F.lit(settle.require_nonunique and not settle.drop_numeric) & differ)
+        open_ = open_ & asked & ~nested & ~(F.lit(settle.drop_dates) & dates) & ~F.contains("column", F.lit("Unnamed:"))
+    left = flat.where(open_).select(*keys)
+    which = {r["column"] for r in left.select("column").distinct().collect()}
+    distinct = None
+    if which:
+        cells = _cells(df, table, [n for n in names if n in which], flags=False).where(~F.col("missing"))
+        of = _rename(left, keys)
+        cells = cells.join(broadcast_if_small(of, left.count()), (F.col("table_id").eqNullSafe(F.col("__table_id"))) & (F.col("column") == F.col("__column")), "left_semi")
+        distinct = cells.groupBy(*keys, "a", "b").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count(F.lit(1)).alias("exact"))
+        flat = join_null_safe(flat, distinct, keys, "left")
+    n_unique = F.coalesce(F.col("exact"), known) if distinct is not None else known
+    n_unique = n_unique.cast("long")
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    return prof.select(
-        "table_id",
-        "column",
+    with_null = n_unique + F.when(F.col("n_missing") > 0, 1).otherwise(0)
+    return flat.select(
+        *keys,
         order[F.col("column")].alias("ordinal"),
         "n",
-        "n_unique",
-        "n_unique_with_null",
+        n_unique.alias("n_unique"),
+        with_null.cast("long").alias("n_unique_with_null"),
         "all_numeric",
-        "is_binary01",
+        # Both values and nothing else: then the count is settled, too.
+        (F.col("zero_one") & F.coalesce((with_null if null_is_value else n_unique) == 2, F.lit(False))).alias("is_binary01"),
         "max_len",
-        F.col("column").isin(dates).alias("is_date"),
-        F.col("column").isin(nested).alias("is_nested"),
+        dates.alias("is_date"),
+        nested.alias("is_nested"),
     )
 
 
+def _rename(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({n: f"__{n}" for n in names})
+
+
 def _per_column(cells: DataFrame, keys: list[str], null_is_value: bool) -> DataFrame:
     """Counts and flags per column from (keys, value, missing), one row per cell."""
     values = cells.groupBy(*keys, "value", "missing").agg(F.count(F.lit(1)).alias("c"))

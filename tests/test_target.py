@@ -97,3 +97,50 @@ def test_grid_and_rank_agree_below_grid_size(spark):
     b = metafeatures.quantile_by_rank(df, ["v"], 6).orderBy("id").toPandas()["v__quantile"]
     assert ((a - b).abs().fillna(0) < 1e-5).all() and (a.isna() == b.isna()).all()
     assert a.min() == 0.0 and a.max() == 1.0
+
+
+def brute_profile(rows, i, null_is_value=True):
+    text = i == 0 or any(isinstance(r[i], str) for r in rows)
+    shown = [("None" if text else "nan") if r[i] is None else str(r[i]) for r in rows]
+    values = {r[i] for r in rows if r[i] is not None}
+    counted = [s for s, r in zip(shown, rows, strict=True) if null_is_value or r[i] is not None]
+    numeric = __import__("re").compile(r"^-?\d+(\.+\d+)?$")
+    missing = any(r[i] is None for r in rows)
+    return (
+        len(rows), len(values), len(values) + missing, all(numeric.match(s) for s in counted),
+        bool(counted) and all(s in ("0", "1") for s in counted) and len(set(counted)) == 2, max(map(len, counted), default=0),
+    )
+
+
+@pytest.mark.parametrize("null_is_value", [True, False])
+def test_profile_of_odd_columns(spark, null_is_value):
+    rows = [(None, 1, i, i % 2, str(i % 2), "x", None if i % 3 else "0", float(i), i / 7, None if i == 4 else i % 2, 10**i, "long " * i, -i) for i in range(12)]
+    schema = ", ".join(f"c{i} {t}" for i, t in enumerate("string int int int string string string double double int long string int".split()))
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = {r["column"]: r for r in profile.column_profile(df, F.lit(None).cast("string"), None, null_is_value).collect()}
+    for i in range(len(rows[0])):
+        r = got[f"c{i}"]
+        assert tuple(r[c] for c in ("n", "n_unique", "n_unique_with_null", "all_numeric", "is_binary01", "max_len")) == brute_profile(rows, i, null_is_value), i
+        assert r["ordinal"] == i and r["table_id"] is None
+    assert profile.column_profile(df.limit(0), F.lit("t")).count() == 0
+
+
+@pytest.mark.parametrize("settings", [{}, {"drop_numeric": True}, {"min_unique_values": 4}, {"require_nonunique": False, "null_is_value": False}])
+def test_settled_columns_have_the_same_verdict(spark, table, settings):
+    config = TargetConfig(**settings)
+    for name in ("orders", "part", "events"):
+        df = table(name)
+        verdict = [
+            {(r["column"], r["reason"], r["is_candidate"]) for r in profile.target_candidates(
+                profile.column_profile(df, F.lit("t"), None, config.null_is_value, settle=settle), config).collect()}
+            for settle in (None, config)
+        ]
+        assert verdict[0] == verdict[1]
+
+
+def test_settled_columns_do_not_move(spark, table):
+    """Nothing but the summary is exchanged where no verdict is open."""
+    docs = table("documents").select("text", "lang", "source")
+    p = profile.column_profile(docs, F.lit("t"), settle=TargetConfig())
+    assert {r["column"]: r["n_unique"] for r in p.collect()} == {"text": None, "lang": None, "source": None}
+    assert "Exchange" not in p._jdf.queryExecution().toString()  # the summary was written; no value was counted
