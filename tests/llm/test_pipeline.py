@@ -51,3 +51,12 @@ def test_odd_rows_pass_all_stages(spark, nasty, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_clashing_columns_pass_all_stages(spark, nasty):
+    docs = nasty.withColumns({c: F.lit(3) for c in ("_gone", "_again", "__key", "key", "row", "times", "n", "places", "digest", "quality")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = stage(spark, docs, SF)
+        assert docs.columns == before
+    corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
