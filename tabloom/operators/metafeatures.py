@@ -47,23 +47,65 @@ def scaled(df: DataFrame, columns: list[str], digits: int = 2, group: list[str]
     return df.drop(*[f"__mean_{c}" for c in columns], *[f"__std_{c}" for c in columns])
 
 
+def cumulative_steps(df: DataFrame, columns: list[str], digits: int = 2, group: list[str] | None = None) -> DataFrame:
+    """The empirical distribution of many columns, one row (group, column, tops, quantiles) each.
+
+    All columns are ranked together: their distinct values are numbered once, within (group, column).
+    A quantile of ``digits`` digits has 10^digits + 1 values at most and never falls from one value to the
+    next, so a column is as many steps: the largest value of each (``tops``) and its quantile. Missing
+    values take no part.
+    """
+    group = group or []
+    cells = [x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("double"))]
+    long = df.select(*group, F.stack(F.lit(len(columns)), *cells).alias("__column", "__value"))
+    r = value_ranks(long, [*group, "__column"], "__value")
+    last = F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
+    mid = (F.lit(2) * F.col("before") + F.col("cnt") - 1) / (F.lit(2.0) * last)
+    q = F.when(F.col("before") == 0, 0.0).when(F.col("before") + F.col("cnt") == F.col("n"), 1.0).otherwise(mid)
+    steps = r.select(*group, "__column", "__value", round_like_numpy(q, digits).alias("__q"))
+    steps = steps.groupBy(*group, "__column", "__q").agg(F.max("__value").alias("__top"))
+    listed = steps.groupBy(*group, "__column").agg(F.sort_array(F.collect_list(F.struct("__top", "__q"))).alias("__steps"))
+    return listed.select(
+        *group, F.col("__column").alias("column"), F.col("__steps")["__top"].alias("tops"), F.col("__steps")["__q"].alias("quantiles")
+    )
+
+
+def step_of(value: Column, tops: Column, quantiles: Column, most: int) -> Column:
+    """The quantile of the first step whose top is not below the value; ``most`` steps at most are searched, by halves."""
+    halves = F.array(*[F.lit(1 << b) for b in range(max(1, most).bit_length() - 1, -1, -1)])
+
+    def search(at: Column, half: Column) -> Column:
+        return at + F.when(F.coalesce(F.get(tops, at + half - 1) < value, F.lit(False)), half).otherwise(0)
+
+    return F.when(value.isNotNull() & ~F.isnan(value), F.get(quantiles, F.aggregate(halves, F.lit(0), search)))
+
+
 def quantile_by_rank(df: DataFrame, columns: list[str], digits: int = 2, group: list[str] | None = None) -> DataFrame:
     """Adds ``<column>__quantile`` from exact ranks (ties share their mean rank).
 
-    Ranks are computed on distinct values and joined back on the value.
+    The rows themselves do not move where the steps of :func:`cumulative_steps` are small enough to be
+    broadcast: each looks its values up in the steps of its group, so a value that a third of them
+    share is no hot key.
     """
     group = group or []
-    for c in columns:
-        r = value_ranks(df, group, c)
-        last = F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
-        mid = (F.lit(2) * F.col("before") + F.col("cnt") - 1) / (F.lit(2.0) * last)
-        q = F.when(F.col("before") == 0, 0.0).when(F.col("before") + F.col("cnt") == F.col("n"), 1.0).otherwise(mid)
-        r = r.select(*group, F.col(c).alias("__v"), round_like_numpy(q, digits).alias(f"{c}__quantile"))
-        r = cut_lineage(r)  # counted here and joined later
-        r = broadcast_if_small(r, r.count())
-        df = df.withColumn("__v", F.col(c).cast("double"))
-        df = df.join(r, [*group, "__v"], "left").drop("__v")
-    return df
+    if not columns:
+        return df
+    steps = cumulative_steps(df, columns, digits, group)
+    most = 10**digits + 1
+    if not group:
+        found = {r["column"]: r for r in steps.collect()}  # as many numbers as the digits say
+        constant = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")
+        made = {
+            f"{c}__quantile": step_of(F.col(f"`{c}`").cast("double"), constant(found[c]["tops"]), constant(found[c]["quantiles"]), len(found[c]["tops"]))
+            if c in found else F.lit(None).cast("double") for c in columns
+        }
+        return df.withColumns(made)
+    own = lambda c: F.any_value(F.when(F.col("column") == c, F.struct("tops", "quantiles")), ignoreNulls=True)
+    names = {c: f"__steps_{i}" for i, c in enumerate(columns)}
+    wide = cut_lineage(steps.groupBy(*group).agg(*[own(c).alias(n) for c, n in names.items()]))  # counted here and joined below
+    df = join_null_safe(df, broadcast_if_small(wide, wide.count() * most * len(columns)), group, "left")
+    made = {f"{c}__quantile": step_of(F.col(f"`{c}`").cast("double"), F.col(n)["tops"], F.col(n)["quantiles"], most) for c, n in names.items()}
+    return df.withColumns(made).drop(*names.values())
 
 
 def quantile_grid(df: DataFrame, columns: list[str], points: int = GRID_POINTS) -> dict[str, list[float]]:

@@ -187,6 +187,29 @@ SQL["metafeatures_rank"] = (
 )
 
 
+def _meta_rank_columns(spark, folder):
+    """Several columns at once, one with missing values, in groups of which one has none of it."""
+    price = F.when((F.col("l_linenumber") > 1) & (F.col("l_returnflag") != "A"), F.col("l_extendedprice"))
+    df = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", price.alias("price"), "l_discount", "l_suppkey")
+    return metafeatures.quantile_by_rank(df, ["price", "l_discount", "l_suppkey"], 3, ["l_returnflag"]).drop("l_returnflag", "price", "l_discount", "l_suppkey")
+
+
+def _cdf_sql(c):
+    ranks = f"rank() OVER o - 1 AS b, count(*) OVER (PARTITION BY l_returnflag, {c}) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n"
+    return (
+        f"SELECT rid, round_even(1000.0::DOUBLE * (CASE WHEN b = 0 THEN 0.0::DOUBLE WHEN b + k = n THEN 1.0::DOUBLE ELSE (2 * b + k - 1)::DOUBLE / (2.0::DOUBLE * (n - 1)) END), 0) / 1000.0::DOUBLE AS q "
+        f"FROM (SELECT rid, {ranks} FROM l WHERE {c} IS NOT NULL WINDOW o AS (PARTITION BY l_returnflag ORDER BY {c}))"
+    )
+
+
+QUERIES["metafeatures_rank_columns"] = _meta_rank_columns
+SQL["metafeatures_rank_columns"] = (
+    "WITH l AS (SELECT row_number() OVER () AS rid, *, CASE WHEN l_linenumber > 1 AND l_returnflag <> 'A' THEN l_extendedprice END AS price FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, a.q AS price__quantile, b.q AS l_discount__quantile, c.q AS l_suppkey__quantile FROM l "
+    f"LEFT JOIN ({_cdf_sql('price')}) a USING (rid) LEFT JOIN ({_cdf_sql('l_discount')}) b USING (rid) LEFT JOIN ({_cdf_sql('l_suppkey')}) c USING (rid)"
+)
+
+
 def _meta_grid(spark, folder):
     df = load(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     df = metafeatures.quantile_by_grid(df, ["o_totalprice", "o_custkey"], 9)

@@ -144,3 +144,29 @@ def test_settled_columns_do_not_move(spark, table):
     p = profile.column_profile(docs, F.lit("t"), settle=TargetConfig())
     assert {r["column"]: r["n_unique"] for r in p.collect()} == {"text": None, "lang": None, "source": None}
     assert "Exchange" not in p._jdf.queryExecution().toString()  # the summary was written; no value was counted
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 6])
+@pytest.mark.parametrize("group", [None, ["g"]])
+def test_quantiles_of_many_columns(spark, digits, group):
+    import random
+
+    rnd = random.Random(digits)
+    rows = [(i % 4 if i % 9 else None, rnd.choice([None, float("nan"), 1.0, -0.0, 0.0, 7.5, rnd.random()]), 5 if i % 3 else i, None) for i in range(300)]
+    rows += [(8, None, 1, None), (9, 2.0, None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, `a.b` long, empty double").repartition(3)
+    out = metafeatures.quantile_by_rank(df, ["x", "a.b", "empty"], digits, group)
+    assert out.columns == [*df.columns, "x__quantile", "a.b__quantile", "empty__quantile"]
+
+    def want(value, column, own):
+        if value is None or value != value:
+            return None
+        values = [r[column] for r in rows if r[column] is not None and r[column] == r[column] and (group is None or r[0] == own)]
+        before, count = sum(v < value for v in values), sum(v == value for v in values)
+        q = 0.0 if before == 0 else 1.0 if before + count == len(values) else (2 * before + count - 1) / (2.0 * (len(values) - 1))
+        scale = float(10**digits)
+        return round(q * scale) / scale
+
+    got = sorted([tuple(r) for r in out.collect()], key=str)
+    assert got == sorted([(*r, *[want(r[c], c, r[0]) for c in (1, 2, 3)]) for r in rows], key=str) or str(got) == str(
+        sorted([(*r, *[want(r[c], c, r[0]) for c in (1, 2, 3)]) for r in rows], key=str))  # nan differs from itself
