@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tabloom.config import SerializerConfig
@@ -54,16 +56,50 @@ QUERIES["stream_shuffle"] = _shuffle
 SQL["stream_shuffle"] = "SELECT c_custkey, c_name FROM customer"
 
 
-def _count_off(spark, folder):
-    """Runs per lane and batch: their sizes do not depend on the order of arrival."""
+@contextmanager
+def _rocksdb(spark):
+    """The state store that the stateful steps need."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        s = _stream(spark, folder, "events").select("event_id", "event_type")
-        out = streams.write_available(streams.count_off(s, "event_type", "event_id", 150, lanes=2))
+        yield
     finally:
         spark.conf.set(provider, before)
+
+
+_BUFFER, _LANES = 40, 3
+
+
+def _shuffle_rows(spark, folder):
+    """Places of a shuffle that goes on across micro-batches. Which row arrives when is chance; who leaves for whom is not."""
+    path = scratch_path(spark, "customers")
+    rows = load(spark, folder, "customer").select("c_custkey", "c_name")
+    rows.repartition(5).write.parquet(path)
+    with _rocksdb(spark):
+        s = streams.read_stream(spark, path, rows.schema, files_per_batch=1)
+        out = streams.write_drained(streams.shuffle_rows(s, "c_custkey", _BUFFER, 5, lanes=_LANES, flush_ms=3000))
+    whole = out.join(rows.withColumnRenamed("c_name", "name"), "c_custkey", "left")
+    return whole.select("lane", "arrival", "place", (F.col("c_name") == F.col("name")).alias("same_row"))
+
+
+QUERIES["stream_shuffle_rows"] = _shuffle_rows
+_held = f"least(n, {_BUFFER})"
+SQL["stream_shuffle_rows"] = (
+    f"WITH lanes AS (SELECT floor({uniform('lane', 'c_custkey::VARCHAR')} * {_LANES})::INT AS lane, count(*) AS n FROM customer GROUP BY 1), "
+    "a AS (SELECT lane, n, unnest(range(n)) AS arrival FROM lanes), "
+    f"s AS (SELECT *, CASE WHEN arrival < {_BUFFER} THEN arrival ELSE floor({uniform(5, 'lane::VARCHAR', 'arrival::VARCHAR')} * {_BUFFER})::BIGINT END AS slot FROM a), "
+    f"o AS (SELECT *, lead(arrival) OVER (PARTITION BY lane, slot ORDER BY arrival) AS successor, {uniform(5, 'lane::VARCHAR', q('rest'), 'arrival::VARCHAR')} AS draw FROM s) "
+    f"SELECT lane, arrival, CASE WHEN successor IS NOT NULL THEN successor - {_BUFFER} ELSE n - {_held} + row_number() OVER (PARTITION BY lane, successor IS NULL ORDER BY draw, arrival) - 1 END AS place, "
+    "true AS same_row FROM o"
+)
+
+
+def _count_off(spark, folder):
+    """Runs per lane and batch: their sizes do not depend on the order of arrival."""
+    with _rocksdb(spark):
+        s = _stream(spark, folder, "events").select("event_id", "event_type")
+        out = streams.write_available(streams.count_off(s, "event_type", "event_id", 150, lanes=2))
     return out.groupBy("event_type", "lane", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last_slot"))
 
 

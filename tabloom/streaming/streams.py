@@ -7,10 +7,11 @@ groups needs state.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,6 +42,32 @@ def write_available(stream: DataFrame, path: str | None = None, checkpoint: str
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def write_drained(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Processes what is there and goes on, without arrivals, until all rows have left the state.
+
+    For streams whose state gives back every row by a timer, like :func:`shuffle_rows`. Timers keep a
+    query alive for ever, so it is ended here, once as many rows have left as came in.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream")
+    q = (
+        stream.observe("left", F.count(F.lit(1)).alias("n")).writeStream.format("parquet").outputMode("append").option("path", path)
+        .option("checkpointLocation", checkpoint or path + "-state").trigger(availableNow=True).start()
+    )
+    moved: dict[int, tuple[int, int]] = {}
+    while q.isActive:
+        for p in q.recentProgress:
+            n = p.observedMetrics.get("left")
+            moved[p.batchId] = (p.numInputRows, n["n"] if n else 0)
+        if moved and moved[max(moved)][0] == 0 and sum(a for a, _ in moved.values()) == sum(b for _, b in moved.values()):
+            q.stop()
+        else:
+            q.awaitTermination(0.2)
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Runs ``step`` on every micro-batch of what is there."""
     q = (
@@ -132,3 +159,82 @@ def count_off(stream: DataFrame, shard: str, key: str, size: int = 150, *, lanes
 def problem_counts(rows: DataFrame) -> DataFrame:
     """Skipped shards of a tar scan by message."""
     return rows.where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("shards"))
+
+
+class _Reservoir(StatefulProcessor):
+    """Holds up to ``size`` rows of a lane; from then on every arrival takes the place of a drawn one, which leaves.
+
+    The draw is a hash of the seed, the lane and the number of the arrival, so a repeated batch draws the
+    same. What is held is read and written once per micro-batch. When nothing has arrived for a while, the
+    rest leaves in the order of another hash.
+    """
+
+    def __init__(self, schema, size: int, seed, flush_ms: int):
+        self.schema, self.size, self.seed, self.flush_ms = schema, size, seed, flush_ms
+        self.names = schema.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        from pyspark.sql.types import LongType, StructField, StructType
+
+        self.handle = handle
+        self.count = handle.getValueState("count", "arrived long, left long")
+        self.held = handle.getListState("held", StructType([StructField("arrival", LongType()), *self.schema.fields]))
+
+    def _draw(self, lane: int, what) -> float:
+        return int(hashlib.md5(f"{self.seed}:{lane}:{what}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    def _out(self, lane: int, place: int, kept: tuple) -> Row:
+        return Row(**dict(zip(self.names, kept[1:], strict=True)), lane=lane, arrival=kept[0], place=place)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        lane = key[0]
+        arrived, left = self.count.get() if self.count.exists() else (0, 0)
+        held = [tuple(r) for r in self.held.get()]
+        for r in rows:
+            new = (arrived, *(r[n] for n in self.names))
+            if len(held) < self.size:
+                held.append(new)
+            else:
+                slot = int(self._draw(lane, arrived) * self.size)
+                yield self._out(lane, left, held[slot])
+                held[slot], left = new, left + 1
+            arrived += 1
+        self.held.put(held)
+        self.count.update((arrived, left))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.flush_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        lane = key[0]
+        arrived, left = self.count.get()
+        rest = sorted((tuple(r) for r in self.held.get()), key=lambda kept: (self._draw(lane, f"rest:{kept[0]}"), kept[0]))
+        for kept in rest:
+            yield self._out(lane, left, kept)
+            left += 1
+        self.held.clear()
+        self.count.update((arrived, left))
+
+    def close(self) -> None:
+        pass
+
+
+def shuffle_rows(stream: DataFrame, key: str, buffer: int = 10_000, seed=0, *, lanes: int, flush_ms: int = 60_000) -> DataFrame:
+    """Bounded shuffle of a stream that goes on across micro-batches: adds ``lane``, ``arrival`` and ``place``.
+
+    Every lane (a hash of ``key``) holds ``buffer`` rows. The row that leaves for the n-th arrival is
+    drawn from those that are held, so a row can leave at most ``buffer`` places earlier than it came, and
+    as late as chance has it. ``arrival`` and ``place`` number the rows of a lane from 0 as they come and
+    go. What is held leaves after ``flush_ms`` without arrivals; nothing is lost. State is ``buffer`` rows a lane.
+    """
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+    schema = stream.schema
+    clash = {"lane", "arrival", "place"} & {n.lower() for n in schema.names}
+    if clash:
+        raise ValueError(f"columns of the result are in the stream already: {sorted(clash)}")
+    laned = stream.withColumn("lane", hashing.below(F.lit(lanes), "lane", F.col(key)).cast("int"))
+    made = StructType([*schema.fields, StructField("lane", IntegerType()), StructField("arrival", LongType()), StructField("place", LongType())])
+    return laned.groupBy("lane").transformWithState(
+        statefulProcessor=_Reservoir(schema, buffer, seed, flush_ms), outputStructType=made, outputMode="Append", timeMode="ProcessingTime"
+    )
