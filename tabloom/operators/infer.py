@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import tokens as K
 from tabloom.operators.evaluate import parse_completion
+from tabloom.operators.rejects import mark
 from tabloom.operators.ordering import broadcast_if_small, join_null_safe, position
 from tabloom.operators.target import distinct_draws
 
@@ -45,15 +46,19 @@ def prompts(df: DataFrame) -> DataFrame:
 
 
 def generate(df: DataFrame, make_model: Callable[[], Model], max_new_tokens: int, max_len: int | None = None,
-             prompt: str = "prompt") -> DataFrame:
+             prompt: str = "prompt", no_room: str = "drop") -> DataFrame:
     """Adds ``completion``. The model is made once per task and sees Arrow batches of prompts.
 
-    With ``max_len`` the byte length of the prompt bounds the budget, and prompts with no room are
-    left out.
+    With ``max_len`` the byte length of the prompt bounds the budget. Prompts with no room are left out,
+    or with ``no_room="mark"`` stay, without a completion and with a ``reason``, unseen by the model.
     """
     if max_len is not None:
         room = F.lit(max_len) - F.octet_length(prompt)
-        df = df.where(room >= 2).withColumn("max_new_tokens", F.least(F.lit(max_new_tokens), room))
+        if no_room == "mark":
+            df = mark(df, [(room < 2, "no room")]).drop("outcome")
+        else:
+            df = df.where(room >= 2)
+        df = df.withColumn("max_new_tokens", F.greatest(F.least(F.lit(max_new_tokens), room), F.lit(0)))
     else:
         df = df.withColumn("max_new_tokens", F.lit(max_new_tokens))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -62,27 +67,31 @@ def generate(df: DataFrame, make_model: Callable[[], Model], max_new_tokens: int
         model = make_model()
         for b in batches:
             b = b.copy()
-            b["completion"] = model(b[prompt].tolist(), b["max_new_tokens"].tolist())
+            able = b["reason"].isna() if "reason" in b.columns else pd.Series(True, index=b.index)
+            b["completion"] = None
+            if able.any():
+                b.loc[able, "completion"] = model(b.loc[able, prompt].tolist(), b.loc[able, "max_new_tokens"].tolist())
             yield b
 
     return df.mapInPandas(run, schema + ", completion string")
 
 
 def predict(targets: DataFrame, keys: list[str], pool: DataFrame | None, pool_order: list, make_model, max_new_tokens: int = 32,
-            k: int | None = None, max_len: int | None = None, on_invalid: str = "return", seed=0) -> DataFrame:
+            k: int | None = None, max_len: int | None = None, on_invalid: str = "return", seed=0, no_room: str = "drop") -> DataFrame:
     """Few-shot (or zero-shot) prediction of serialized rows; adds ``prediction`` and ``valid``.
 
-    ``on_invalid``: ``raise``, ``null`` or ``return`` the unfinished text.
+    ``on_invalid``: ``raise``, ``null`` or ``return`` the unfinished text. ``no_room``: see :func:`generate`;
+    a marked row has neither prediction nor validity.
     """
     if pool is None:
         shots = targets.withColumn("shots", F.expr("cast(array() as array<struct<text:string,label:string>>)"))
     else:
         shots = with_shots(targets, keys, pool, pool_order, k, seed)
-    done = generate(prompts(shots), make_model, max_new_tokens, max_len)
+    done = generate(prompts(shots), make_model, max_new_tokens, max_len, no_room=no_room)
     parsed = done.withColumn("__p", parse_completion(F.concat("prompt", "completion")))
     value = F.col("__p.text")
     if on_invalid == "raise":
-        value = F.when(F.col("__p.valid"), value).otherwise(F.raise_error(F.concat(F.lit("invalid prediction: "), value)))
+        value = F.when(F.col("completion").isNull() | F.col("__p.valid"), value).otherwise(F.raise_error(F.concat(F.lit("invalid prediction: "), value)))
     elif on_invalid == "null":
         value = F.when(F.col("__p.valid"), value)
     return parsed.withColumn("prediction", value).withColumn("valid", F.col("__p.valid")).drop("__p")

@@ -327,6 +327,44 @@ SQL["tables_to_samples"] = " UNION ALL ".join(
     f"SELECT {q(t)} AS table_name, count(*) AS n, count(*) AS keys FROM {t}" for t in ("customer", "orders", "part", "supplier"))
 
 
+def _samples_rejects(spark, folder):
+    """The same with everything that can go wrong: every row of every table is a sample or a letter, and both are counted."""
+    from tabloom.sources.files import filesystem
+
+    path = scratch_path(spark, "lake")
+    for t in ("customer", "orders", "part"):
+        load(spark, folder, t).write.parquet(f"{path}/in/{t}")
+    load(spark, folder, "supplier").select("s_suppkey").repartition(2).write.parquet(f"{path}/in/supplier")
+
+    def spoil(batches):
+        for batch in batches:
+            fs, root = filesystem(path)
+            fs.create_dir(f"{root}/in/spoilt", recursive=True)
+            with fs.open_output_stream(f"{root}/in/spoilt/a.parquet") as f:
+                f.write(b"no table")
+            yield batch
+
+    spark.range(1).mapInArrow(spoil, "id long").count()
+    counts: dict[str, int] = {}
+    samples = tables_to_samples.run(
+        spark, f"{path}/in", f"{path}/out", pipeline=PipelineConfig(max_chars=270), seed=3, skip_unreadable=True, counts=counts)
+    refused = tables_to_samples.rejected(spark, f"{path}/out")
+    of = lambda c: F.element_at(F.split(c, "/"), -2).alias("table_name")
+    rows = samples.select(of("filename"), F.lit("kept").alias("outcome"), F.lit(1).cast("long").alias("rows")).unionByName(
+        refused.select(of("source"), F.when(F.contains("reason", F.lit("no t")) | (F.col("reason") == "too long"), F.col("reason")).otherwise("unreadable").alias("outcome"), "rows"))
+    told = rows.groupBy("table_name").agg(F.sum("rows").alias("n"), F.array_join(F.array_sort(F.collect_set(
+        F.when(F.col("outcome").isin("kept", "too long"), "row").otherwise(F.col("outcome")))), ",").alias("kinds"))
+    both = samples.count() == counts["kept"] > 0 and refused.where("reason = 'too long'").count() == counts["rejected"] > 0
+    return told.withColumn("counted", F.lit(both))
+
+
+QUERIES["tables_to_samples_rejects"] = _samples_rejects
+SQL["tables_to_samples_rejects"] = " UNION ALL ".join(
+    f"SELECT {q(t)} AS table_name, count(*)::BIGINT AS n, {q(kind)} AS kinds, true AS counted FROM {t}"
+    for t, kind in (("customer", "row"), ("orders", "row"), ("part", "row"), ("supplier", "no target"))
+) + " UNION ALL SELECT 'spoilt', NULL::BIGINT, 'unreadable', true"
+
+
 def _training(spark, folder):
     c = load(spark, folder, "conversations")
     s = c.select(F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("__"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("key"), "text", F.col("role").alias("class_label_as_text"))

@@ -168,6 +168,24 @@ SQL["batch_predict"] = (
 )
 
 
+_ROOM = 457  # bytes; about half of the prompts leave two or more
+
+
+def _predict_rejects(spark, folder):
+    """Every target comes back: with a prediction, or with the reason why the model never saw it."""
+    targets = _rows_as_text(spark, folder, "customer", "c_custkey", "c_nationkey")
+    pool = _rows_as_text(spark, folder, "supplier", "s_suppkey", "s_nationkey")
+    out = infer.predict(targets, ["c_custkey"], pool, ["s_suppkey"], infer.hashed_model(["1", "2", "3"], 6), k=3, seed=6, max_len=_ROOM, no_room="mark")
+    return out.select("c_custkey", F.octet_length("prompt").alias("prompt_bytes"), "reason", F.when(F.col("reason").isNull(), F.col("prediction")).alias("prediction"))
+
+
+QUERIES["batch_predict_rejects"] = _predict_rejects
+SQL["batch_predict_rejects"] = (
+    f"SELECT c_custkey, strlen(prompt)::INT AS prompt_bytes, CASE WHEN strlen(prompt) > {_ROOM - 2} THEN 'no room' END AS reason, CASE WHEN strlen(prompt) <= {_ROOM - 2} THEN "
+    f"(['1', '2', '3'])[(('0x' || substr(md5('6:' || prompt), 1, 8))::UBIGINT % 3)::INT + 1] END AS prediction FROM ({_prompt})"
+)
+
+
 def _evaluate(spark, folder):
     s = _rows_as_text(spark, folder, "orders", "o_orderkey", "o_orderstatus").join(
         load(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("task")), "o_orderkey")

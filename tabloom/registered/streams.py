@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tabloom.config import SerializerConfig
 from tabloom.functions import hashing
-from tabloom.operators import labels
+from tabloom.operators import labels, rejects
 from tabloom.registered.common import load, q, sentences, uniform
 from tabloom.session import scratch_path
+from tabloom.sources import checked
 from tabloom.streaming import streams
 
 QUERIES, SQL = {}, {}
@@ -108,3 +109,26 @@ SQL["stream_count_off"] = (
     "SELECT event_type, lane, b AS batch, least(150, n - b * 150)::BIGINT AS n, (least(150, n - b * 150) - 1)::INT AS last_slot FROM (SELECT event_type, "
     f"floor({uniform('lane', 'event_id::VARCHAR')} * 2)::INT AS lane, count(*) AS n FROM events GROUP BY ALL), generate_series(0, 1000000) AS g(b) WHERE b * 150 < n"
 )
+
+
+def _rejects(spark, folder):
+    """Events as a stream of files of which one is no table: kept and refused rows from one pass, counted on the way."""
+    path = scratch_path(spark, "events")
+    rows = load(spark, folder, "events")
+    rows.repartition(4).write.parquet(path)
+    spark.range(1).select(F.lit("no table").alias("value")).coalesce(1).write.mode("append").text(path)
+    s = checked.read_checked(spark, path, rows.schema, "*.{parquet,txt}", stream=True, files_per_batch=2)
+    samples = labels.to_samples(s, "event_type", SerializerConfig(), choices=["click", "view"], keep=["event_id", "source", "reason"], columns=rows.columns)
+    out, counts = streams.write_marked(rejects.mark(samples, [(F.length("text") > _LONG, "too long")], payload=["text"]))
+    told = F.when(F.col("reason").startswith("unreadable"), "unreadable").otherwise(F.col("reason"))
+    whole = out.count() == counts["kept"] + counts["rejected"] and counts["rejected"] == out.where("outcome = 'rejected'").count()
+    return out.select("event_id", "outcome", told.alias("reason"), F.md5("text").alias("text_md5"), F.lit(whole).alias("counted"))
+
+
+_LONG = 210  # characters; about half of the samples are longer
+QUERIES["stream_rejects"] = _rejects
+SQL["stream_rejects"] = (
+    "SELECT event_id, CASE WHEN bad THEN 'rejected' ELSE 'kept' END AS outcome, CASE WHEN bad THEN 'too long' END AS reason, CASE WHEN NOT bad THEN md5(t) END AS text_md5, true AS counted FROM "
+    f"(SELECT *, length(t) > {_LONG} AS bad FROM (SELECT event_id, 'Predict the event_type: ||click||view|| ' || {sentences('events', 'event_type')} || ' What is the value of event_type? ||click||view||' AS t FROM events)) "
+    "UNION ALL SELECT NULL, 'rejected', 'unreadable', NULL, true"
+)

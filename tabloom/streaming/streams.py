@@ -42,6 +42,29 @@ def write_available(stream: DataFrame, path: str | None = None, checkpoint: str
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def write_marked(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Writes rows that :func:`tabloom.operators.rejects.mark` marked, by outcome; returns them all and how many were kept and rejected.
+
+    The numbers are of this run, from the metrics that each micro-batch reports.
+    """
+    from tabloom.operators import rejects
+
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream")
+    q = (
+        rejects.counted(stream, "outcomes").writeStream.format("parquet").outputMode("append").partitionBy("outcome").option("path", path)
+        .option("checkpointLocation", checkpoint or path + "-state").trigger(availableNow=True).start()
+    )
+    told: dict[int, dict] = {}
+    while True:
+        over = q.awaitTermination(0.2)
+        told.update({p.batchId: p.observedMetrics["outcomes"].asDict() for p in q.recentProgress if "outcomes" in p.observedMetrics})
+        if over:
+            break
+    counts = {k: sum(t[k] for t in told.values()) for k in (rejects.KEPT, rejects.REFUSED)}
+    return spark.read.schema(stream.schema).parquet(path), counts
+
+
 def write_drained(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Processes what is there and goes on, without arrivals, until all rows have left the state.
 
