@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import hashing
@@ -140,8 +140,38 @@ def resolve_names(catalog: DataFrame, name: str, patterns: list[str], exclude: l
 
 
 def resolve_names_by_table(catalog: DataFrame, name: str, patterns: DataFrame, exclude: DataFrame) -> DataFrame:
-    """Same with patterns and exclusions as tables (columns ``pattern`` / ``name``)."""
-    rx = F.concat(F.lit("^"), F.replace("pattern", F.lit("*"), F.lit(".*")), F.when(F.contains("pattern", F.lit("*")), F.lit("")).otherwise(F.lit("$")))
-    p = broadcast_if_small(patterns.select(rx.alias("__rx")), patterns.count())
-    kept = catalog.select(name).distinct().join(p, F.expr(f"regexp_like({name}, __rx)"), "left_semi")
-    return kept.join(exclude.select(F.col("name").alias(name)), name, "left_anti")
+    """Same with any number of patterns and exclusions as tables (columns ``pattern`` / ``name``).
+
+    Plain names are looked up. A pattern is found by what stands before its first ``*``: every name is
+    cut at the lengths that such beginnings have, and its pieces are looked up, so that it meets only
+    patterns that begin like it. All characters but ``*`` stand for themselves. Nulls match nothing.
+    """
+    names = catalog.select(name).where(F.col(name).isNotNull()).distinct()
+    listed = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+    star = F.contains("pattern", F.lit("*"))
+    plain = listed.where(~star).select(F.col("pattern").alias(name))
+    like = F.col("pattern")
+    for old, new in (("\\", "\\\\"), ("%", "\\%"), ("_", "\\_"), ("*", "%")):
+        like = F.replace(like, F.lit(old), F.lit(new))
+    wild = listed.where(star).select(F.substring_index("pattern", "*", 1).alias("__begin"), F.concat(like, F.lit("%")).alias("__like"))
+    # As many numbers as the longest pattern has characters.
+    lengths = [r[0] for r in wild.select(F.length("__begin")).distinct().collect()]
+    found = names.join(broadcast_if_small(plain, plain.count()), name, "left_semi")
+    if lengths:
+        cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(name))
+        pieces = names.select(name, F.explode(cuts).alias("__n")).select(name, F.expr(f"substring(`{name}`, 1, __n)").alias("__begin"))
+        met = pieces.join(broadcast_if_small(wild, wild.count()), "__begin").where(F.like(F.col(name), F.col("__like")))
+        found = found.unionByName(met.select(name)).distinct()
+    return found.join(exclude.select(F.col("name").alias(name)), name, "left_anti")
+
+
+def read_names(spark: SparkSession, names: str) -> DataFrame:
+    """(pattern) of a list as it is given to a run: names and patterns with commas between them, or a .txt file with one per line.
+
+    Quotes around a list, blanks around names and empty names do not count.
+    """
+    if names.strip("'\" ").endswith(".txt"):
+        lines = spark.read.text(names.strip("'\" "))
+    else:
+        lines = spark.createDataFrame([(n,) for n in names.replace("'", "").replace('"', "").split(",")], "value string")
+    return lines.select(F.btrim("value").alias("pattern")).where("pattern <> ''")

@@ -8,6 +8,7 @@ from tabloom.functions import tokens as K
 from tabloom.operators import columns, encoding, packing, sampling, shards, tokenize
 from tabloom.operators.ordering import hash_position
 from tabloom.registered.common import digest, joined, load, q, uniform
+from tabloom.session import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -116,6 +117,25 @@ SQL["task_filter_tables"] = (
     "SELECT DISTINCT p_brand || '/' || p_type AS task FROM part WHERE p_brand || '/' || p_type NOT IN (SELECT p_brand || '/' || p_type FROM part WHERE p_size = 1)"
 )
 
+def _task_filter_list(spark, folder):
+    """Thousands of names and patterns from a text file."""
+    keys = load(spark, folder, "orders").select("o_custkey").distinct()
+    digits = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    lines = F.when(F.pmod("o_custkey", F.lit(3)) == 0, F.concat(F.lit(" Customer#"), digits)).otherwise(
+        F.concat(F.lit("Customer#"), F.substring(digits, 1, 8), F.lit("*"), F.pmod("o_custkey", F.lit(7)).cast("string")))
+    path = scratch_path(spark, "names") + ".txt"
+    keys.select(lines.alias("value")).write.text(path)
+    none = spark.createDataFrame([], "name string")
+    return sampling.resolve_names_by_table(load(spark, folder, "customer"), "c_name", sampling.read_names(spark, path), none)
+
+
+QUERIES["task_filter_list"] = _task_filter_list
+SQL["task_filter_list"] = (
+    "SELECT DISTINCT c_name FROM customer JOIN (SELECT DISTINCT o_custkey % 3 = 0 AS whole, CASE WHEN o_custkey % 3 = 0 THEN 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') "
+    "ELSE 'Customer#' || substr(lpad(o_custkey::VARCHAR, 9, '0'), 1, 8) || '%' || (o_custkey % 7) || '%' END AS p FROM orders) ON c_name LIKE p"
+)
+
+
 # --- shards and names ------------------------------------------------------------------------
 
 QUERIES["reshard_bins"] = lambda spark, folder: shards.shard_by_size(

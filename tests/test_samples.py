@@ -153,3 +153,25 @@ def test_shards_respect_size(spark):
         got = shards.shard_by_size(df, ["id"], "size", 500).groupBy("shard").agg(F.sum("size").alias("s")).orderBy("shard").collect()
         spark.conf.unset("spark.tabloom.maxGroupRows")
         assert [r["shard"] for r in got] == list(range(len(got))) and all(r["s"] < 500 + 100 for r in got)
+
+
+def test_names_and_patterns_meet_without_pairing(spark, tmp_path):
+    import re
+
+    rnd = __import__("random").Random(5)
+    make = lambda n: "".join(rnd.choice("ab_%.\\/") for _ in range(n))
+    names = [make(rnd.randrange(0, 7)) for _ in range(400)] + ["ab", None, "ab"]
+    patterns = [make(rnd.randrange(0, 3)) + "*" + make(rnd.randrange(0, 2)) + rnd.choice(["", "*"]) for _ in range(40)] + ["ab", "a_", None, "*zz"]
+    gone = rnd.sample([n for n in names if n], 20)
+    want = {n for n in names if n is not None and n not in gone and any(
+        re.match(re.escape(p).replace("\\*", ".*") + ("" if "*" in p else "$"), n, re.DOTALL) for p in patterns if p is not None)}
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = sampling.resolve_names_by_table(frame(names, "n"), "n", frame(patterns, "pattern"), frame(gone, "name"))
+    rows = [r["n"] for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 20
+    many = frame([f"x{i}*" for i in range(10_000)], "pattern")
+    plan = sampling.resolve_names_by_table(frame(names, "n"), "n", many, frame([], "name"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    (tmp_path / "list.txt").write_text("ab\n\n a* \n")
+    assert {r[0] for r in sampling.read_names(spark, f"'{tmp_path}/list.txt'").collect()} == {"ab", "a*"}
+    assert {r[0] for r in sampling.read_names(spark, "'ab, b*,,c'").collect()} == {"ab", "b*", "c"}
