@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import LOWER, UPPER
+from tabloom.operators.ordering import broadcast_if_small
 from tabloom.session import cut_lineage
 
 # The rules.
@@ -24,7 +25,7 @@ RULES = (
     ("com/de/", "block"),
 )
 TRAIN_ROWS = 20_000  # labelled URLs that the trees are fitted on, at most
-SUFFIXES = 5_000  # suffixes and first segments with a rate of their own, at most; the rest have the overall rate
+FOLDS = 16  # a labelled URL sees the rates of the fifteen others
 TREES = 12
 DEPTH = 4
 SEED = 7
@@ -94,23 +95,44 @@ def lexical(url: Column, host: Column, path: Column, query: Column) -> dict[str,
     }
 
 
+KEYS = {"_s": lambda: suffix(F.col("host")), "_g": lambda: segment(F.col("path"))}
+
+
+class Rates:
+    """How many of all labelled URLs have a suffix or first segment, and how many of them are blocked."""
+
+    def __init__(self, urls: DataFrame, key: str):
+        self.key = key
+        self.by_fold = cut_lineage(urls.groupBy(KEYS[key]().alias(key), "_f").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")))
+        self.all = cut_lineage(self.by_fold.groupBy(key).agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+        self.rows, self.fold_rows = self.all.count(), self.by_fold.count()
+
+    def join(self, rows: DataFrame, own_fold: bool) -> DataFrame:
+        """Adds the counts; of labelled rows, without those of the row's own fold, so that no label tells itself."""
+        named = self.all.select(self.key, F.col("n").alias(f"{self.key}_n"), F.col("b").alias(f"{self.key}_b"), F.col("n").alias(f"{self.key}_all"))
+        out = rows.join(broadcast_if_small(named, self.rows), self.key, "left")
+        if not own_fold:
+            return out
+        less = self.by_fold.withColumnsRenamed({"n": "_ln", "b": "_lb"})
+        out = out.join(broadcast_if_small(less, self.fold_rows), [self.key, "_f"], "left")
+        rest = {c: F.col(c) - F.coalesce(F.col(x), F.lit(0)) for c, x in ((f"{self.key}_n", "_ln"), (f"{self.key}_b", "_lb"))}
+        return out.withColumns(rest).drop("_ln", "_lb")
+
+
 class UrlModel:
     """Fitted trees with the block rates of suffixes and first segments."""
 
-    def __init__(self, trees: GBTClassificationModel | None, rates: dict[str, DataFrame], overall: float):
+    def __init__(self, trees: GBTClassificationModel | None, rates: dict[str, Rates], overall: float):
         self.trees, self.rates, self.overall = trees, rates, overall
 
-    def features(self, judged: DataFrame) -> DataFrame:
-        """Adds the features to rows with u, host, path, query."""
-        out = judged.withColumns({"_s": suffix(F.col("host")), "_g": segment(F.col("path"))})
-        # At most SUFFIXES rows each.
-        out = out.join(F.broadcast(self.rates["_s"]), "_s", "left").join(F.broadcast(self.rates["_g"]), "_g", "left")
+    def features(self, judged: DataFrame, own_fold: bool = False) -> DataFrame:
+        """Adds the features to rows with u, host, path, query; labelled rows (``own_fold``) have their fold in ``_f``."""
+        out = judged.withColumns({k: of() for k, of in KEYS.items()})
+        for rate in self.rates.values():
+            out = rate.join(out, own_fold)
+        smooth = lambda k: (F.coalesce(F.col(f"{k}_b"), F.lit(0.0)) + 10 * F.lit(self.overall)) / (F.coalesce(F.col(f"{k}_n"), F.lit(0)) + 10)
         lex = lexical(F.col("u"), F.col("host"), F.col("path"), F.col("query"))
-        stats = {
-            "suffix_rate": F.coalesce("_s_rate", F.lit(self.overall)),
-            "suffix_count": F.log1p(F.coalesce(F.col("_s_n"), F.lit(0)).cast("double")),
-            "segment_rate": F.coalesce("_g_rate", F.lit(self.overall)),
-        }
+        stats = {"suffix_rate": smooth("_s"), "suffix_count": F.log1p(F.coalesce(F.col("_s_all"), F.lit(0)).cast("double")), "segment_rate": smooth("_g")}
         return out.withColumns(lex | stats)
 
     def blocks(self, judged: DataFrame) -> DataFrame:
@@ -121,31 +143,23 @@ class UrlModel:
         return self.trees.transform(ready).withColumn("blocked", F.col("_blocked") == 1.0)
 
 
-def _rates(labelled: DataFrame, key: Column, name: str, overall: float) -> DataFrame:
-    """Smoothed share of blocked URLs by key, for the most frequent keys."""
-    by = labelled.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b"))
-    top = by.orderBy(F.desc("n"), name).limit(SUFFIXES)
-    return top.select(name, ((F.col("b") + 10 * F.lit(overall)) / (F.col("n") + 10)).alias(f"{name}_rate"), F.col("n").alias(f"{name}_n"))
-
-
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
     """Trees for rows (u, host, path, query, label: 1.0 block, 0.0 allow).
 
-    Fitted on the ``train_rows`` rows whose URLs have the smallest hashes; a URL counts once however
-    often it occurs. With labels of one kind only, or none, the model says that kind, or allow.
+    Suffixes and segments are counted over all labelled URLs, each once however often it occurs; only
+    the trees are fitted on a bounded sample, the ``train_rows`` URLs of the smallest hashes, which see
+    the counts of the other folds. With labels of one kind only, or none, the model says that kind, or allow.
     """
-    picked = labelled.groupBy("u").agg(*[F.any_value(c).alias(c) for c in ("host", "path", "query")], F.max("label").alias("label"))
-    picked = cut_lineage(picked.orderBy(F.xxhash64("u"), "u").limit(train_rows))
-    n, blocked = picked.agg(F.count(F.lit(1)), F.sum("label")).first()
+    once = labelled.groupBy("u").agg(*[F.any_value(c).alias(c) for c in ("host", "path", "query")], F.max("label").alias("label"))
+    once = cut_lineage(once.withColumn("_f", F.pmod(F.xxhash64(F.lit("fold"), "u"), F.lit(FOLDS)).cast("int")))
+    n, blocked = once.agg(F.count(F.lit(1)), F.sum("label")).first()
     overall = (blocked or 0.0) / n if n else 0.0
-    rates = {
-        "_s": cut_lineage(_rates(picked, suffix(F.col("host")), "_s", overall)),
-        "_g": cut_lineage(_rates(picked, segment(F.col("path")), "_g", overall)),
-    }
+    rates = {k: Rates(once, k) for k in KEYS}
+    picked = once.orderBy(F.xxhash64("u"), "u").limit(train_rows)
     model = UrlModel(None, rates, overall)
     if overall in (0.0, 1.0):
         return model
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(model.features(picked)).select("_x", "label")
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(model.features(picked, own_fold=True)).select("_x", "label")
     gbt = GBTClassifier(
         featuresCol="_x", labelCol="label", predictionCol="_blocked",
         maxIter=trees, maxDepth=depth, stepSize=0.3, seed=SEED, maxBins=64,

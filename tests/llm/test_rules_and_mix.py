@@ -108,6 +108,19 @@ def test_url_model_on_held_out_urls(spark, table):
     assert n > 10 and right >= 0.85 and right > max(blocked, 1 - blocked)
 
 
+def test_rates_cover_every_labelled_url(spark):
+    urls_ = [(f"http://a{i % 3}.h{i % 7000}.net/s{i % 11}/{i}", float(i % 5 == 0)) for i in range(21_000)]
+    rows = spark.createDataFrame([*urls_, *urls_[:500]], "u string, label double").withColumns(urls.parts(F.col("u")))
+    model = urls.fit(rows, train_rows=200, trees=1)
+    got = {r["_s"]: (r["n"], r["b"]) for r in model.rates["_s"].all.collect()}
+    assert len(got) == 7000 and sum(n for n, _ in got.values()) == 21_000
+    assert all(n == 3 for n, _ in got.values()) and sum(b for _, b in got.values()) == sum(x for _, x in urls_)
+    once = rows.limit(50).withColumn("_f", F.pmod(F.xxhash64(F.lit("fold"), "u"), F.lit(urls.FOLDS)).cast("int"))
+    # Of its own fold, a row sees no count: of three URLs of a suffix at most two are left.
+    assert {r[0] for r in model.features(once, own_fold=True).select("_s_n").collect()} <= {0, 1, 2}
+    assert {r[0] for r in model.features(once).select("_s_n").collect()} == {3}
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 
