@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.config import DataConfig, SerializerConfig
 from tabloom.functions import text
 from tabloom.operators import columns, labels, metafeatures, serialize, target
+from tabloom.plans import prepare
 from tabloom.registered.common import TABLE_COLUMNS, digest, iso, load, num, q, raw, sentences, txt, uniform
 
 QUERIES, SQL = {}, {}
@@ -370,3 +371,30 @@ QUERIES["normalize"] = _normalize
 SQL["normalize"] = (
     "SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 6) AS z FROM orders"
 )
+
+
+# --- a whole table under its settings --------------------------------------------------------
+
+_NATIONS = {str(i): f"nation no. {i}" for i in range(0, 25, 2)}
+
+
+def _prepared(spark, folder):
+    """Feature list with dictionaries and long names, missing rows out, metafeatures of one digit, hashed columns."""
+    df = load(spark, folder, "customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")))
+    entry = lambda name, long=None, codes=None: {"name": name, "name_extended": long, "value_mapping": codes}
+    features = [entry("c_custkey"), entry("c_acctbal", "balance"), entry("c_nationkey", "home", _NATIONS), entry("c_mktsegment")]
+    config = DataConfig(feature_values="map", feature_names="map", dropna="rows", use_metafeatures=True, metafeatures_precision=1, shuffle_table_features=True)
+    out = prepare.prepare(df, "c_mktsegment", config, features, "customer", 1)
+    order = F.lit(",".join(c for c in out.columns if "__" not in c))
+    return out.select("c_custkey", "home", "balance__scale", "balance__quantile", order.alias("columns"))
+
+
+QUERIES["prepared_table"] = _prepared
+_ordered = ",".join([*serialize.shuffled_columns(["c_custkey", "balance", "home"], "customer", 1), "c_mktsegment"])
+SQL["prepared_table"] = (
+    "WITH c AS (SELECT * FROM customer WHERE c_custkey % 7 > 0 AND c_acctbal IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY c_acctbal) - 1 AS b, "
+    "count(*) OVER (PARTITION BY c_acctbal) AS k, count(*) OVER () AS n, avg(c_acctbal) OVER () AS m, stddev_pop(c_acctbal) OVER () AS d FROM c) "
+    f"SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'nation no. ' || c_nationkey ELSE c_nationkey::VARCHAR END AS home, round_even(10.0::DOUBLE * ((c_acctbal - m) / d), 0) / 10.0::DOUBLE AS balance__scale, "
+    "round_even(10.0::DOUBLE * (CASE WHEN b = 0 THEN 0.0::DOUBLE WHEN b + k = n THEN 1.0::DOUBLE ELSE (2 * b + k - 1)::DOUBLE / (2.0::DOUBLE * (n - 1)) END), 0) / 10.0::DOUBLE AS balance__quantile, "
+    f"{q(_ordered)} AS columns FROM r"
+)

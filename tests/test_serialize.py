@@ -142,3 +142,22 @@ def test_default_style_runs_no_python(spark, plain):
                                   prefix=PRE, suffix=SUF, choices=["a", "b"], row_key=F.col("floors")))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "UDF" not in plan
+
+
+def test_a_table_is_prepared_as_its_settings_say(spark):
+    from tabloom.config import DataConfig
+    from tabloom.plans.prepare import prepare
+
+    df = spark.createDataFrame([(1, 2.0, "b", "x"), (2, None, "a", "y"), (3, 4.0, "b", None)], "id int, v double, c string, y string")
+    assert prepare(df, "y").columns == df.columns
+    assert [r["id"] for r in prepare(df, "y", DataConfig(dropna="rows")).collect()] == [1]
+    assert prepare(df, "y", DataConfig(dropna="columns")).columns == ["id", "c", "y"]
+    coded = {r["id"]: r["c"] for r in prepare(df, "y", DataConfig(categorical="label_encode")).collect()}
+    assert coded == {1: 1, 2: 0, 3: 1}
+    scaled = {r["y"]: r["v"] for r in prepare(df, "y", DataConfig(numeric="normalize")).collect()}
+    assert scaled == {"x": -1.0, "y": None, None: 1.0}
+    orders = {tuple(prepare(df, "y", DataConfig(shuffle_table_features=True), table=str(t)).columns) for t in range(20)}
+    assert len(orders) > 2 and all(o[-1] == "y" and sorted(o) == sorted(df.columns) for o in orders)
+    for bad in (DataConfig(numeric="no"), DataConfig(categorical="no"), DataConfig(feature_values="map")):
+        with pytest.raises(ValueError):
+            prepare(df, "y", bad)
