@@ -82,7 +82,9 @@ def write_drained(stream: DataFrame, path: str | None = None, checkpoint: str |
         for p in q.recentProgress:
             n = p.observedMetrics.get("left")
             moved[p.batchId] = (p.numInputRows, n["n"] if n else 0)
-        if moved and moved[max(moved)][0] == 0 and sum(a for a, _ in moved.values()) == sum(b for _, b in moved.values()):
+        # One empty micro-batch may be what an earlier run was stopped in; two in a row come only after all files.
+        last = [moved[k][0] for k in sorted(moved)[-2:]]
+        if last == [0, 0] and sum(a for a, _ in moved.values()) == sum(b for _, b in moved.values()):
             q.stop()
         else:
             q.awaitTermination(0.2)
