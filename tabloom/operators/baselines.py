@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text
 from tabloom.operators.ordering import broadcast_if_small, position
+from tabloom.session import cut_lineage
 
 
 def label_codes(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
@@ -87,28 +88,33 @@ def tree_grid(n_trials: int, seed: int = 0) -> list[dict]:
 
 
 def train_and_score(train: DataFrame, test: DataFrame, features: list[str], label: str, model: str = "logistic_regression",
-                    n_trials: int = 10, seed: int = 0, max_iter: int = 1000, parallelism: int = 4):
+                    n_trials: int = 10, seed: int = 0, max_iter: int = 1000, parallelism: int = 1):
     """Fits with cross-validated settings and returns (model, metrics).
 
     Tuning is skipped for a single trial or when a class has no more rows than there are folds;
     ``tuned`` in the metrics says so. Trees are boosted one class against the rest where there are
     more than two.
+
+    Both sides are read once: vectors and labels are stored, and folds and iterations read those.
+    Trials run one at a time by default. Spark keeps every core busy with one, and threads that fit on
+    the cached folds share a plan, whose serialization may then fail.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.tuning import CrossValidator
 
-    train = train.withColumn(label, F.col(label).cast("double"))
-    test = test.withColumn(label, F.col(label).cast("double"))
+    assembler = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
+    train, test = (
+        cut_lineage(assembler.transform(df.withColumn(label, F.col(label).cast("double"))).select("__features", label)) for df in (train, test)
+    )
     tr = {float(r[0]): r[1] for r in train.groupBy(label).count().collect()}
     te = {float(r[0]): r[1] for r in test.groupBy(label).count().collect()}
     n_train, n_test = sum(tr.values()), sum(te.values())
     classes = len(set(tr) | set(te))
     folds = min(n_train, 3)
     can_tune = n_train > 1 and n_trials > 1 and all(c > folds for c in tr.values())
-    assembler = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     args = {"featuresCol": "__features", "labelCol": label}
     if model == "logistic_regression":
@@ -128,9 +134,9 @@ def train_and_score(train: DataFrame, test: DataFrame, features: list[str], labe
     if settings:
         stage = CrossValidator(estimator=est, estimatorParamMaps=settings, evaluator=judge, numFolds=folds,
                                seed=seed, parallelism=parallelism)
-    fitted = Pipeline(stages=[assembler, stage]).fit(train)
+    fitted = stage.fit(train)
     acc = judge.evaluate(fitted.transform(test))
-    return fitted, {
+    return PipelineModel([assembler, fitted]), {
         "acc": acc,
         "majority_acc": max(te.values()) / n_test,
         "n_test": n_test,

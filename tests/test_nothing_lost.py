@@ -65,3 +65,20 @@ def test_boosting_of_three_classes(spark):
 def test_double_underscores_in_a_path_keep_tables_apart(spark):
     df = spark.createDataFrame([("lake__a/x.parquet__0",), ("lake__a/y.parquet__7",), ("plain",)], "key string")
     assert [r[0] for r in df.select(table_of_key(F.col("key"))).collect()] == ["lake__a/x.parquet", "lake__a/y.parquet", "plain"]
+
+
+def test_baseline_trials_read_the_rows_once_and_in_turn(spark, monkeypatch):
+    from pyspark.ml import tuning
+
+    seen, threads = spark.sparkContext.accumulator(0), []
+    real = tuning.ThreadPool
+    monkeypatch.setattr(tuning, "ThreadPool", lambda processes: threads.append(processes) or real(processes=processes))
+
+    @F.udf("double")
+    def told(i):
+        seen.add(1)
+        return float(i % 5)
+
+    df = spark.range(60).select(told("id").alias("a"), (F.col("id") % 2).alias("y"))
+    _, m = baselines.train_and_score(df, df, ["a"], "y", n_trials=3, max_iter=3)
+    assert m["n_train"] == 60 and seen.value == 120 and threads == [1]
