@@ -7,17 +7,21 @@ one numpy pass per batch, no Python per byte. Any other tokenizer plugs in as a
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import tokens as K
 
+# Bytes of text that are encoded at once; a longer text is encoded by itself.
+PIECE_BYTES = 1 << 20
+
 
 @dataclass(frozen=True)
 class ByteTokenizer:
@@ -83,15 +87,37 @@ def with_markers(df: DataFrame) -> DataFrame:
     )
 
 
+def pieces(batches: Iterator[pa.Array], limit: int | None = None) -> Iterator[pa.Array]:
+    """Arrow batches of text cut into runs of rows with at most so many bytes, one row at least."""
+    limit = limit or PIECE_BYTES
+    for a in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(a), 0), dtype="int64")
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(a):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield a.slice(at, stop - at)
+            at = stop
+
+
+def _encoded(tok, a: pa.Array) -> pa.Array:
+    if hasattr(tok, "encode_arrow"):
+        return tok.encode_arrow(a)
+    return pa.array([list(map(int, x)) for x in tok.encode(a.to_pylist())], pa.list_(pa.int32()))
+
+
 def token_column(c: Column, tokenizer=None, truncate: int | None = None) -> Column:
-    """array<int> of a text column."""
+    """array<int> of a text column.
+
+    Ids take many times the memory of their text, so they are made and handed over piece by piece.
+    """
     tok = tokenizer or ByteTokenizer()
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(a: pa.Array) -> pa.Array:
-        if hasattr(tok, "encode_arrow"):
-            return tok.encode_arrow(a)
-        return pa.array([list(map(int, x)) for x in tok.encode(a.to_pylist())], pa.list_(pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in pieces(batches):
+            yield _encoded(tok, a)
 
     ids = encode(c)
     return F.slice(ids, 1, truncate) if truncate else ids
@@ -107,12 +133,9 @@ def tokenize_samples(df: DataFrame, tokenizer=None, truncate: int | None = None)
     both = token_column(F.concat("input_text", "target_text"), tok, truncate)
 
     @F.arrow_udf(T.IntegerType())
-    def length(a: pa.Array) -> pa.Array:
-        if hasattr(tok, "encode_arrow"):
-            import pyarrow.compute as pc
-
-            return pc.list_value_length(tok.encode_arrow(a)).cast(pa.int32())
-        return pa.array([len(x) for x in tok.encode(a.to_pylist())], pa.int32())
+    def length(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in pieces(batches):
+            yield pc.list_value_length(_encoded(tok, a)).cast(pa.int32())
 
     n = length(F.col("input_text"))
     if truncate:

@@ -175,3 +175,19 @@ def test_names_and_patterns_meet_without_pairing(spark, tmp_path):
     (tmp_path / "list.txt").write_text("ab\n\n a* \n")
     assert {r[0] for r in sampling.read_names(spark, f"'{tmp_path}/list.txt'").collect()} == {"ab", "a*"}
     assert {r[0] for r in sampling.read_names(spark, "'ab, b*,,c'").collect()} == {"ab", "b*", "c"}
+
+
+def test_tokens_are_made_piece_by_piece(spark):
+    import pyarrow as pa
+
+    texts = ["é" * 40, None, "", "x" * 300, "ab<|endinput|>c"] * 20
+    cut = list(tokenize.pieces(iter([pa.array(texts, pa.string())]), 100))
+    assert [t for p in cut for t in p.to_pylist()] == texts and all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= 100 for p in cut)
+    class Told(tokenize.ByteTokenizer):
+        def encode_arrow(self, arr):
+            assert arr.nbytes < 2 * tokenize.PIECE_BYTES, "the whole batch at once"
+            return super().encode_arrow(arr)
+
+    df = spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("word "), 200).alias("input_text"), F.col("id").cast("string").alias("target_text"))
+    rows = tokenize.tokenize_samples(df, Told()).select("id", F.size("input_ids").alias("n"), F.size(tokenize.unmasked(F.col("labels"))).alias("k")).collect()
+    assert len(rows) == 4000 and all(r.n == 1001 + len(str(r.id)) and r.k == len(str(r.id)) for r in rows)
