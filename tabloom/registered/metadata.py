@@ -33,9 +33,17 @@ SQL["extract_urls"] = (
 )
 
 
+PAGES_A_TASK = 5_000
+
+
 def _dataset_pages(spark, folder):
-    """A dataset page per part, in the layout of a repository site."""
-    p = load(spark, folder, "part")
+    """A dataset page per part, in the layout of a repository site.
+
+    The narrow rows are dealt out before pages are made of them: the file of a few bytes a row gives few tasks, and
+    every page is parsed.
+    """
+    p = load(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = p.repartition(p.count() // PAGES_A_TASK + 1)
     table = F.concat(
         F.lit('<table class="w-full"><thead><tr><th>Variable Name</th></tr></thead><tbody><tr><td> '), F.col("p_name"), F.lit(" </td><td>Feature</td><td>"), F.col("p_type"),
         F.lit("</td><td></td><td>size &amp; price</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>no</td></tr></tbody></table>"),
