@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import bpe, line_dedup, mixing, quality, similar
+from tabloom.llm import bpe, line_dedup, mixing, quality, similar, simhash
 from tabloom.llm.common import load
 from tabloom.llm.registered import byte_vocabulary
 from tabloom.session import scratch_path
@@ -25,8 +25,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8 or more."""
-    return similar.drop_similar(docs)
+    """One document of each group of near duplicates: SimHash fingerprints at most four bits apart, or five-word
+    shingles with a similarity of 0.8 or more, checked exactly."""
+    return similar.drop_similar(docs, bits=simhash.MAX_BITS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ bands of ``ROWS`` values with probability 0.997, at 0.85 with 0.9999. Texts with
 one node. Each bucket first gives a star around its smallest node; once the links among those are
 known, the pairs of a bucket whose ends are still apart are checked as well, so that a group of
 thousands of near copies takes thousands of checks and no pair that shares a band stays unchecked
-unless its ends are linked already.
+unless its ends are linked already. With ``bits``, texts whose SimHash fingerprints differ in at most so
+many bits (:mod:`tabloom.llm.simhash`, found at the anchors of its covering code) are linked as well.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm import simhash
 from tabloom.llm.common import fresh, map_batches, type_of
 from tabloom.llm.graph import components
 from tabloom.session import cut_lineage
@@ -59,16 +61,19 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit("n")), F.lit(":"), digest)
 
 
-def _signed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """Rows (doc_id, key, node, n, bands): key of the row, digest and size of its set of shingles."""
+def _signed(docs: DataFrame, doc_id: str, text: str, shingle: int, bits: int | None) -> DataFrame:
+    """Rows (doc_id, key, node, n, bands, fp): key of the row, digest and size of its set of shingles, fingerprint where wanted."""
     from xxhash import xxh3_128_digest
 
     def start():
         def each(batch):
-            sets = [shingles(t or b"", shingle) for t in batch.column(2).to_pylist()]
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            sets = [shingles(t, shingle) for t in texts]
+            prints = np.array([0 if bits is None else simhash.fingerprint(t) for t in texts], dtype=np.uint64)
             yield {
                 "doc_id": batch.column(0), "key": batch.column(1), "node": [xxh3_128_digest(s.tobytes()) for s in sets],
                 "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets],
+                "fp": prints.view(np.int64),
             }
 
         return each
@@ -76,7 +81,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     picked = docs.select(
         F.col(doc_id).alias("doc_id"), _row_key(doc_id, text).alias("key"), F.col(text).cast("string").cast("binary").alias("text")
     )
-    return map_batches(picked, f"doc_id {type_of(picked, 'doc_id')}, key string, node binary, n long, bands array<long>", start)
+    return map_batches(picked, f"doc_id {type_of(picked, 'doc_id')}, key string, node binary, n long, bands array<long>, fp long", start)
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -100,7 +105,17 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def _groups(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+def _close(signed: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints differ in at most so many bits."""
+    prints = cut_lineage(signed.groupBy("fp").agg(F.min("node").alias("first")))
+    alike = signed.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = simhash.links(prints.select("fp", F.col("fp").alias("node")), max_bits=bits).distinct()
+    a, b = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    apart = links.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return cut_lineage(alike.unionByName(apart))
+
+
+def _groups(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, bits: int | None) -> DataFrame:
     """Rows (node, component) of the nodes that link with another."""
     nodes = signed.groupBy("node").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     rows = nodes.select(F.explode("bands").alias("cell"), "node", "n", "key")
@@ -112,7 +127,8 @@ def _groups(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle:
     texts = keyed.join(wanted, "_k").select("node", "text")
     sets = cut_lineage(_sets(texts, shingle).dropDuplicates(["node"]))
     star = met.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut_lineage(_alike(star, sets, similarity))
+    first = _alike(star, sets, similarity)
+    first = cut_lineage(first if bits is None else first.unionByName(_close(signed, bits)))
     known = components(first)
     apart = met.join(known, "node", "left").select("cell", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = apart.groupBy("cell").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("cell")
@@ -124,14 +140,15 @@ def _groups(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle:
     return components(first.unionByName(_alike(pairs, sets, similarity)))
 
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per group of texts that are linked by pairs of at least this similarity; columns as they were.
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY,
+                 bits: int | None = None) -> DataFrame:
+    """One row per group of texts that are linked by pairs of at least this similarity, or by fingerprints; columns as they were.
 
     The row with the smallest doc_id stays, one without a doc_id only where the group has no other; of
     rows with equal doc_id and text one stays. Texts without words (null, empty, blank) are one group.
     """
-    signed = cut_lineage(_signed(docs, doc_id, text, shingle))
-    named = signed.join(_groups(signed, docs, doc_id, text, shingle, similarity), "node", "left")
+    signed = cut_lineage(_signed(docs, doc_id, text, shingle, bits))
+    named = signed.join(_groups(signed, docs, doc_id, text, shingle, similarity, bits), "node", "left")
     rows = named.select("doc_id", "key", F.coalesce("component", "node").alias("c"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
     best = rows.groupBy("c").agg(F.min(order).alias("best")).select("c", F.col("best.key").alias("best"))

@@ -65,3 +65,12 @@ def test_rows_of_one_id_and_without_one(spark):
     text = " ".join(WORDS[:50])
     got = stage(spark, [(7, text), (7, "another text"), (9, text), (None, text), (None, "alone"), (7, "another text")])
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("7", text), ("7", "another text"), ("None", "alone")])
+
+
+def test_equal_fingerprints_link_below_the_similarity(spark):
+    def text(words):
+        return "one two three four five " * 50 + " ".join(words)
+
+    rows = [(1, text(WORDS[:30])), (2, text(WORDS[30:60])), (3, " ".join(WORDS[100:160]))]
+    assert plain_kept(rows) == [1, 2, 3]
+    assert sorted(r.doc_id for r in stage(spark, rows)) == [1, 3]
