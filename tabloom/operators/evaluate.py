@@ -9,6 +9,9 @@ from tabloom.functions import text
 from tabloom.functions.stats import clopper_pearson
 from tabloom.functions.tokens import END_COMPLETION, QA_SEP
 
+# Token rows that one task joins, sums up and sorts.
+TOKENS_A_TASK = 500_000
+
 
 def parse_completion(c: Column, on_missing: str = "error") -> Column:
     """struct<text, valid>: what follows the last separator, up to the end marker.
@@ -45,12 +48,28 @@ def open_vocabulary(predictions: DataFrame, task: list[str], prediction: str, la
     )
 
 
-def closed_vocabulary(token_logprobs: DataFrame, task: list[str], example: str, label: str,
-                      klass: str = "class", logprob: str = "logprob", normalize: bool = False) -> DataFrame:
+def deal(df: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Rows dealt by ``by``, so that a task gets about ``TOKENS_A_TASK`` of ``rows`` at most; adaptive execution merges none of them.
+
+    Tables dealt alike join without another shuffle. A join deals anew what has fewer parts than the session's shuffles,
+    so there are as many at least.
+    """
+    if rows <= TOKENS_A_TASK:
+        return df
+    return df.repartition(max(rows // TOKENS_A_TASK + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def closed_vocabulary(token_logprobs: DataFrame, task: list[str], example: str, label: str, klass: str = "class", logprob: str = "logprob",
+                      normalize: bool = False, tokens: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Best class per example: the sum (or mean) of its token log-probabilities, argmax.
 
-    The smallest class name wins a tie. Two aggregations, both combined map-side.
+    The smallest class name wins a tie. Two aggregations, both in the task that has the example. With ``tokens`` (their
+    number, or a bound) examples are dealt by ``by`` (task, example and label; fewer will do) to tasks of bounded memory,
+    and tokens that :func:`deal` has dealt alike stay where they are. Without it they are combined map-side, and the
+    session's settings decide how many tasks, thus how much memory each, the groups get.
     """
+    if tokens is not None:
+        token_logprobs = deal(token_logprobs, by or [*task, example, label], tokens)
     agg = F.avg(logprob) if normalize else F.sum(logprob)
     scored = token_logprobs.groupBy(*task, example, label, klass).agg(agg.alias("score"))
     best = scored.groupBy(*task, example, label).agg(F.min(F.struct(-F.col("score"), F.col(klass).alias("c"))).alias("b"))
