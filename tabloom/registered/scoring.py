@@ -108,7 +108,7 @@ def _closed_sql(agg):
     )
 
 
-QUERIES["closed_vocabulary"] = lambda spark, folder: evaluate.closed_vocabulary(_logprobs(spark, folder)[0], ["task"], "example", "label")
+QUERIES["closed_vocabulary"] = _closed
 SQL["closed_vocabulary"] = _closed_sql("sum")
 QUERIES["closed_accuracy_normalized"] = lambda spark, folder: evaluate.closed_accuracy(_closed(spark, folder, normalize=True), ["task"], "label")
 SQL["closed_accuracy_normalized"] = (

@@ -70,3 +70,14 @@ def test_operator_deals_any_tokens(spark, folder, monkeypatch, normalize):
     assert out.rdd.getNumPartitions() == len(tokens) // 100 + 1
     assert sorted(out.collect()) == sorted(evaluate.closed_vocabulary(df, *args, normalize=normalize).collect())
     assert {tuple(r)[:3]: r["prediction"] for r in out.collect()} == best(tokens, normalize)
+
+
+def test_closed_vocabulary_tasks_follow_the_rows(spark, folder, monkeypatch, capsys):
+    path, tokens = folder
+    plain = scoring.QUERIES["closed_vocabulary"](spark, path)
+    monkeypatch.setattr(evaluate, "TOKENS_A_TASK", 50, raising=False)
+    out = scoring.QUERIES["closed_vocabulary"](spark, path)
+    assert planned(out, capsys).count("Exchange hashpartitioning") == 2  # one for each table, none after the join
+    assert out.rdd.getNumPartitions() == 1201 // 50 + 1
+    for df in (plain, out):
+        assert {tuple(r)[:3]: r["prediction"] for r in df.collect()} == best(tokens, False) and df.count() == len(best(tokens, False))
