@@ -53,3 +53,19 @@ def test_a_shard_that_ends_early_is_told_once(spark, tmp_path):
 def test_shards_of_large_tables_grow_in_number(spark):
     assert scans._shard_count(spark.range(10).select(F.lit("x").alias("text"))) == 4
     assert scans._shard_count(spark.range(600).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))) == 10
+
+
+def test_joins_do_not_take_shards_for_small(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = samples(spark, 2000)
+    tar.write_tar(df.repartition(2), path)
+    keys = df.select("key", F.lit(1).alias("one")).repartition(3)
+
+    def joined(other, rows):
+        out = rows.select("key").join(other, "key")
+        assert len(out.collect()) == 2000
+        return out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    for rows in (tar.read_tar(spark, path), tar.read_tar(spark, path).where("problem is null"), tar.read_index(spark, path)):
+        assert "Broadcast" not in joined(keys, rows)
+        assert "BroadcastHashJoin" in joined(F.broadcast(keys), rows)  # a hint of one's own decides
