@@ -69,3 +69,17 @@ def test_joins_do_not_take_shards_for_small(spark, tmp_path):
     for rows in (tar.read_tar(spark, path), tar.read_tar(spark, path).where("problem is null"), tar.read_index(spark, path)):
         assert "Broadcast" not in joined(keys, rows)
         assert "BroadcastHashJoin" in joined(F.broadcast(keys), rows)  # a hint of one's own decides
+
+
+def test_a_long_name_costs_no_more_than_a_short_one(spark, tmp_path):
+    folder = "file:/" + "lake-0123456789/" * 8 + "a.parquet"
+    keys = [f"{folder}__{i}" for i in range(50)]
+    odd = ["k", "ä" * 90, "x" * 300, folder + "/" + "y" * 120, "/" + "z" * 95, "/abs/" + "z/" * 60 + "é", "q/" * 140 + "r", "/" + "w/" * 60 + "v", "//s"]
+    for name, some in (("plain", keys), ("odd", odd)):
+        df = spark.createDataFrame([(k, "{}") for k in some], "key string, json string")
+        tar.write_tar(df.coalesce(1), str(tmp_path / name))
+        back = tar.read_tar(spark, str(tmp_path / name), strict=True).collect()
+        assert sorted(r["key"] for r in back) == sorted(some) and {r["json"] for r in back} == {"{}"}
+    # A header and a block of content for each, two empty blocks, filled up to a record.
+    (_, size, _), = tar.commits.shard_files(str(tmp_path / "plain"))
+    assert size == -(-(50 * 1024 + 1024) // 10240) * 10240
