@@ -1,10 +1,15 @@
 """Shards of any number and size: tasks follow the bytes, not the shards or the splits."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
 
+from tabloom.config import PipelineConfig
+from tabloom.operators import shards
+from tabloom.plans import tables_to_samples
 from tabloom.registered import scans
+from tabloom.session import cut_lineage
 from tabloom.sources import tar
 
 
@@ -83,3 +88,44 @@ def test_a_long_name_costs_no_more_than_a_short_one(spark, tmp_path):
     # A header and a block of content for each, two empty blocks, filled up to a record.
     (_, size, _), = tar.commits.shard_files(str(tmp_path / "plain"))
     assert size == -(-(50 * 1024 + 1024) // 10240) * 10240
+
+
+def held(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    return sum(os.path.getsize(f"{at}/{n}") for at, _, names in os.walk(root) for n in names)
+
+
+def test_samples_are_stored_once_on_their_way_to_shards(spark, tmp_path):
+    noise = F.concat_ws("", *[F.md5(F.concat_ws(":", "id", F.lit(i))) for i in range(40)])
+    # One key comes 500 times and one is missing.
+    key = F.when(F.col("id") < 500, "twice").when(F.col("id") > 500, F.concat(F.lit("t__"), F.col("id").cast("string")))
+    df = cut_lineage(spark.range(3000).select(
+        key.alias("key"), noise.alias("text"), F.lit("a").alias("class_label_as_text"), F.concat(F.lit("f"), F.pmod("id", F.lit(3)).cast("string")).alias("filename"),
+        F.col("id").alias("row_id"), F.when(F.pmod("id", F.lit(4)) == 0, "test").otherwise("train").alias("split")))
+    before = held(spark)
+    once = cut_lineage(df)
+    size = held(spark) - before
+    spark.conf.set("spark.tabloom.maxGroupRows", "100")
+    try:
+        made = tables_to_samples.to_shards(df, str(tmp_path), PipelineConfig(target_shard_mb=1)).collect()
+    finally:
+        spark.conf.unset("spark.tabloom.maxGroupRows")
+    assert held(spark) - before - size < 1.3 * size
+    assert all(os.path.getsize(r["path"]) < 1.1 * (1 << 20) for r in made) and len(made) == 8
+    texts, keys = [], {}
+    for r in made:
+        for b in tar.read_tar(spark, r["path"], strict=True).collect():
+            texts.append(json.loads(b["json"])["text"])
+            keys.setdefault(r["split"], []).append("" if b["key"] == "None" else b["key"])
+    assert sorted(texts) == sorted(r["text"] for r in once.collect())
+    assert sorted(keys) == ["test", "train"] and all(k == sorted(k) for k in keys.values())
+
+
+def test_shards_are_found_by_their_first_rows(spark):
+    rows = [(g, k, i, 40 + i % 90) for i, (g, k) in enumerate([("a", None)] * 5 + [("a", "k")] * 30 + [("a", f"ä{i}") for i in range(50)] + [("b", f"{i}") for i in range(50)])]
+    df = spark.createDataFrame(rows, "g string, key string, row long, bytes long")
+    placed = shards.shard_by_size(df, ["key", "row"], "bytes", 200, ["g"])
+    shard, last = shards.shard_lookup(placed, ["key", "row"], "g")
+    want = {r["row"]: r["shard"] for r in placed.collect()}
+    assert {r["row"]: r["found"] for r in df.withColumn("found", shard).collect()} == want
+    assert last == {g: max(want[r[2]] for r in rows if r[0] == g) for g in "ab"} and last["a"] > 20
